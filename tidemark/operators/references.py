@@ -94,7 +94,7 @@ def index_parents(parents: DataFrame) -> DataFrame:
 def salted_join(refs: DataFrame, parents: DataFrame, how: str) -> DataFrame:
     """References joined to parents; parents are one row a key, so a hot key is spread over SALTS copies of its row."""
     salted = refs.withColumn("_salt", F.pmod(F.xxhash64("ref_table", "row_id"), F.lit(SALTS)))
-    copies = parents.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = parents.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, ["parent_kind", "parent_key", "_salt"], how).drop("_salt")
 
 

@@ -53,15 +53,15 @@ _STEM = r"regexp_replace(lower(trim(regexp_replace(trim({c}), '^.*[/\\]', ''))),
 _PATH = r"regexp_replace(regexp_replace(replace(trim({c}), '\', '/'), '/+', '/', 'g'), '^\./', '')"
 
 _P3 = f"""
-WITH a AS (SELECT id, min(loaded_at) at, any_value(recording_id) r, any_value(deleted_at) d FROM annotations GROUP BY id),
-s AS (SELECT id, min(loaded_at) at, any_value(recording_id) r FROM reviewed_spans GROUP BY id),
-c AS (SELECT id, min(loaded_at) at, any_value(npy_path) p, any_value(deleted_at) d, bool_or(deleted_at IS NOT NULL) gone FROM recordings GROUP BY id),
-f AS (SELECT {_PATH.format(c="npy_path")} p, min(written_at) at, max_by(deleted_at IS NOT NULL, written_at) gone FROM channel_files GROUP BY 1),
+WITH a AS (SELECT id, min(loaded_at) t0, any_value(recording_id) r, any_value(deleted_at) d FROM annotations GROUP BY id),
+s AS (SELECT id, min(loaded_at) t0, any_value(recording_id) r FROM reviewed_spans GROUP BY id),
+c AS (SELECT id, min(loaded_at) t0, any_value(npy_path) p, any_value(deleted_at) d, bool_or(deleted_at IS NOT NULL) gone FROM recordings GROUP BY id),
+f AS (SELECT {_PATH.format(c="npy_path")} p, min(written_at) t0, max_by(deleted_at IS NOT NULL, written_at) gone FROM channel_files GROUP BY 1),
 refs AS (
-  SELECT 'annotations' ref_table, a.id row_id, a.at, c.id IS NOT NULL here, c.gone, c.at pat FROM a LEFT JOIN c ON a.r = c.id WHERE a.d IS NULL AND a.r IS NOT NULL
-  UNION ALL SELECT 'reviewed_spans', s.id, s.at, c.id IS NOT NULL, c.gone, c.at FROM s LEFT JOIN c ON s.r = c.id WHERE s.r IS NOT NULL
-  UNION ALL SELECT 'recordings', x.id, x.at, f.p IS NOT NULL, f.gone, f.at FROM c x LEFT JOIN f ON {_PATH.format(c="x.p")} = f.p WHERE x.d IS NULL AND x.p IS NOT NULL),
-faults AS (SELECT ref_table, row_id, at, CASE WHEN NOT here THEN 'missing' WHEN gone THEN 'deleted' WHEN pat > at THEN 'late' END kind FROM refs)
+  SELECT 'annotations' ref_table, a.id row_id, a.t0, c.id IS NOT NULL here, c.gone, c.t0 pat FROM a LEFT JOIN c ON a.r = c.id WHERE a.d IS NULL AND a.r IS NOT NULL
+  UNION ALL SELECT 'reviewed_spans', s.id, s.t0, c.id IS NOT NULL, c.gone, c.t0 FROM s LEFT JOIN c ON s.r = c.id WHERE s.r IS NOT NULL
+  UNION ALL SELECT 'recordings', x.id, x.t0, f.p IS NOT NULL, f.gone, f.t0 FROM c x LEFT JOIN f ON {_PATH.format(c="x.p")} = f.p WHERE x.d IS NULL AND x.p IS NOT NULL),
+faults AS (SELECT ref_table, row_id, t0, CASE WHEN NOT here THEN 'missing' WHEN gone THEN 'deleted' WHEN pat > t0 THEN 'late' END kind FROM refs)
 """
 
 _P6 = """
@@ -97,7 +97,7 @@ SELECT npy_path, idx FROM far UNION SELECT * FROM stuck UNION SELECT * FROM ex
 UNION SELECT r.npy_path, -1 FROM (SELECT npy_path, fs, {_STEM.format(c="source_file")} stem FROM recordings WHERE source_file IS NOT NULL) r LEFT JOIN maj m USING (stem) WHERE r.fs IS NULL OR isnan(r.fs) OR m.fs IS NULL OR r.fs != m.fs
 """,
     "p3_found": _P3 + "SELECT ref_table, row_id, kind FROM faults WHERE kind IS NOT NULL",
-    "p3_counts": _P3 + "SELECT ref_table, strftime(at, '%Y-%m') AS month, kind, count(*) AS n FROM faults WHERE kind IS NOT NULL GROUP BY ALL",
+    "p3_counts": _P3 + "SELECT ref_table, strftime(t0, '%Y-%m') AS month, kind, count(*) AS n FROM faults WHERE kind IS NOT NULL GROUP BY ALL",
     "p6_found": _P6 + "SELECT span_table, recording_id, 'merged' kind, from_idx, to_idx FROM p WHERE n >= 2 UNION ALL SELECT span_table, recording_id, 'gap', to_idx, nxt FROM q WHERE nxt IS NOT NULL",
     "p6_coverage": _P6 + "SELECT span_table, recording_id, count(*) n_periods, sum(to_idx - from_idx)::BIGINT covered, coalesce(sum(nxt - to_idx), 0)::BIGINT uncovered FROM q GROUP BY ALL",
 }
