@@ -18,10 +18,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.salting import salted_join
 from tidemark.session import cut_lineage
 from tidemark.tables import clean_path, first_loaded
 
-SALTS = 16
 REF = "ref_table string, row_id long, parent_kind string, parent_key string, ref_at timestamp"
 PARENT = "parent_kind string, parent_key string, first_at timestamp, version timestamp, removed boolean"
 
@@ -51,8 +51,8 @@ class Orphans:
         known = self.refs
         again = known.join(fresh.select("ref_table", "row_id"), ["ref_table", "row_id"], "left_semi")
         rest = known.join(fresh.select("ref_table", "row_id"), ["ref_table", "row_id"], "left_anti")
-        touched = salted_join(rest, changed, "left_semi")
-        still = salted_join(rest, changed, "left_anti")
+        touched = by_key(rest, changed, "left_semi")
+        still = by_key(rest, changed, "left_anti")
         pending = (
             fresh.select(*columns(REF))
             .unionByName(again.select(*columns(REF)))
@@ -91,15 +91,13 @@ def index_parents(parents: DataFrame) -> DataFrame:
     )
 
 
-def salted_join(refs: DataFrame, parents: DataFrame, how: str) -> DataFrame:
-    """References joined to parents; parents are one row a key, so a hot key is spread over SALTS copies of its row."""
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64("ref_table", "row_id"), F.lit(SALTS)))
-    copies = parents.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, ["parent_kind", "parent_key", "_salt"], how).drop("_salt")
+def by_key(refs: DataFrame, parents: DataFrame, how: str) -> DataFrame:
+    """References joined to parents; parents are one row a key, so a hot key is spread over copies of its row."""
+    return salted_join(refs, parents, ["parent_kind", "parent_key"], ["ref_table", "row_id"], how)
 
 
 def judge(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    found = salted_join(refs, parents.withColumn("here", F.lit(True)), "left")
+    found = by_key(refs, parents.withColumn("here", F.lit(True)), "left")
     fault = (
         F.when(F.col("here").isNull(), "missing")
         .when(F.col("removed"), "deleted")
