@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import clusters, mixing, splits, tokens
 from tidemark.llm import runs as run_ops
-from tidemark.llm import splits
 from tidemark.llm.sql import SQL  # noqa: F401
 from tidemark.tables import read
 
@@ -22,6 +22,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(p2_splits(spark, d), read(spark, d, "split_targets"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.grouped(clusters.cluster(read(spark, d, "cluster_windows")))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    windows = read(spark, d, "cluster_windows")
+    return clusters.describe(windows, clusters.cluster(windows))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return run_ops.runs(read(spark, d, "seeds")).filter("n >= 2").select("seed_id", "first_pos", "last_pos")
 
@@ -30,4 +39,16 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return run_ops.runs(read(spark, d, "seeds"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p5_found, p5_runs)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(read(spark, d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p8_mix(spark, d), read(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p4_found, p4_clusters, p5_found, p5_runs, p7_ids, p8_mix, p8_shares)}

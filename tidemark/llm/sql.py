@@ -25,6 +25,13 @@ reach AS (SELECT a node, a root FROM both_ways UNION SELECT r.node, w.b FROM rea
 comp AS (SELECT node, min(root) root FROM reach GROUP BY node),
 m AS (SELECT id, coalesce(root, node) c FROM n LEFT JOIN comp USING (node))
 SELECT min(id) OVER (PARTITION BY c) group_id, id recording_id FROM m QUALIFY group_id != recording_id
+""",
+    "p4_found": """
+WITH RECURSIVE w AS (SELECT window_id id, any_value(features) f FROM cluster_windows GROUP BY window_id),
+ok AS (SELECT id, f::DOUBLE[16] f FROM w WHERE len(f) = 16 AND len(list_filter(f, lambda v: NOT isfinite(v))) = 0),
+e AS (SELECT a.id a, b.id b FROM ok a JOIN ok b ON b.f[1] BETWEEN a.f[1] - 0.25 AND a.f[1] + 0.25 AND a.id != b.id WHERE array_distance(a.f, b.f) <= 0.25),
+reach AS (SELECT a node, a root FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.root)
+SELECT min(root) first_window_id, node window_id FROM reach GROUP BY node HAVING min(root) != node
 """,
     "p5_found": _RUNS + "SELECT seed_id, first_pos::BIGINT first_pos, last_pos::BIGINT last_pos FROM r WHERE n >= 2",
     "p5_runs": _RUNS + "SELECT seed_id, symbol, first_pos::BIGINT first_pos, last_pos::BIGINT last_pos, n, (n * scale)::BIGINT duration FROM r",
