@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import clusters, mixing, splits, tokens
+from tidemark.llm import clusters, mixing, spans, splits, tokens
 from tidemark.llm import runs as run_ops
 from tidemark.llm.sql import SQL  # noqa: F401
 from tidemark.tables import read
@@ -51,4 +51,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p8_mix(spark, d), read(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p4_found, p4_clusters, p5_found, p5_runs, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.Shared(read(spark, d, "documents")).pairs()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.Shared(read(spark, d, "documents")).shares()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p4_found, p4_clusters, p5_found, p5_runs, p7_ids, p8_mix, p8_shares, p9_found, p9_shares)}
