@@ -67,7 +67,7 @@ def blocks(samples: DataFrame, block: int, margin: int) -> DataFrame:
     at = F.pmod(F.col("idx"), F.lit(block))
     into = F.when(at < margin, F.array(own, own - 1)).when(at >= block - margin, F.array(own, own + 1)).otherwise(F.array(own))
     rows = samples.filter("npy_path is not null and idx is not null and x is not null")
-    return rows.select("npy_path", "idx", "x", F.explode(into).alias("blk")).groupBy("npy_path", "blk").agg(F.collect_list(F.struct("idx", "x")).alias("pts"))
+    return rows.select("npy_path", "idx", "x", F.explode(into).alias("blk")).filter("blk is not null").groupBy("npy_path", "blk").agg(F.collect_list(F.struct("idx", "x")).alias("pts"))
 
 
 class Batch:
@@ -386,19 +386,21 @@ def implausible(samples: DataFrame, limits: DataFrame, *, seconds: float = 3.0,
 
 
 def joined_edges(flags: DataFrame) -> DataFrame:
-    """Flags of single readings, and the readings of edge runs that are long enough with their continuation."""
-    order = Window.partitionBy("npy_path").orderBy("idx")
-    rank = F.when(F.col("reason") == "range", 0).when(F.col("reason") == "stuck", 1).otherwise(2)
-    single = flags.filter("reason != 'edge'").select("npy_path", "idx", rank.alias("why"))
-    edges = flags.filter("reason = 'edge'")
+    """Flags of single readings, and the readings of edge runs that are long enough with their continuation.
+
+    Single readings pass through in lanes of their own, so the blocks are judged once; edge runs are two a block at most.
+    """
+    edge = F.col("reason") == "edge"
+    lanes = flags.withColumn("lane", F.when(edge, -1).otherwise(F.pmod(F.xxhash64("idx"), F.lit(64)).cast("int")))
+    order = Window.partitionBy("npy_path", "lane").orderBy("idx")
     cut = (F.col("idx") != F.lag("to_idx").over(order) + 1) | (F.col("x") != F.lag("x").over(order))
-    island = F.sum(F.coalesce(cut, F.lit(True)).cast("long")).over(order)
-    runs = edges.withColumn("island", island)
-    total = F.sum(F.col("to_idx") - F.col("idx") + 1).over(Window.partitionBy("npy_path", "island"))
-    stuck = runs.withColumn("total", total).filter("total >= least")
-    more = stuck.select("npy_path", F.explode(F.sequence("idx", "to_idx")).alias("idx"), F.lit(1).alias("why"))
+    runs = lanes.withColumn("island", F.sum(F.coalesce(cut, F.lit(True)).cast("long")).over(order))
+    total = F.sum(F.col("to_idx") - F.col("idx") + 1).over(Window.partitionBy("npy_path", "lane", "island"))
+    kept = runs.withColumn("total", total).filter(~edge | (F.col("total") >= F.col("least")))
+    why = F.when(F.col("reason") == "range", 0).when(F.col("reason") == "spike", 2).otherwise(1)
+    each = kept.select("npy_path", F.explode(F.sequence("idx", "to_idx")).alias("idx"), why.alias("why"))
     reason = F.element_at(F.array(F.lit("range"), F.lit("stuck"), F.lit("spike")), F.col("why") + 1)
-    return single.unionByName(more).groupBy("npy_path", "idx").agg(F.min("why").alias("why")).select("npy_path", "idx", reason.alias("reason"))
+    return each.groupBy("npy_path", "idx").agg(F.min("why").alias("why")).select("npy_path", "idx", reason.alias("reason"))
 
 
 def hourly_fences(samples: DataFrame, limits: DataFrame, *, expand: float = 6.0, seconds: float = 3.0) -> DataFrame:
