@@ -43,28 +43,22 @@ class Orphans:
         A reference seen before keeps its earliest time; of a parent, the earliest ``first_at`` and the ``removed``
         of the latest ``version`` hold (a null version is older than any other; at a tie, removal wins).
         """
-        merged = index_parents(self.parents.select(*columns(PARENT)).unionByName(parents.select(*columns(PARENT))))
-        changed = parents.select("parent_kind", "parent_key").distinct()
-        fresh = refs.select(*columns(REF)).groupBy("ref_table", "row_id").agg(
-            F.min(F.struct("ref_at", "parent_kind", "parent_key")).alias("r")
-        ).select("ref_table", "row_id", "r.*")
-        known = self.refs
-        again = known.join(fresh.select("ref_table", "row_id"), ["ref_table", "row_id"], "left_semi")
-        rest = known.join(fresh.select("ref_table", "row_id"), ["ref_table", "row_id"], "left_anti")
-        touched = by_key(rest, changed, "left_semi")
-        still = by_key(rest, changed, "left_anti")
-        pending = (
-            fresh.select(*columns(REF))
-            .unionByName(again.select(*columns(REF)))
-            .groupBy("ref_table", "row_id")
-            .agg(F.min(F.struct("ref_at", "parent_kind", "parent_key")).alias("r"))
-            .select("ref_table", "row_id", "r.*")
-            .unionByName(touched.select(*columns(REF)))
+        merged = index_parents(
+            self.parents.select(*columns(PARENT), F.lit(False).alias("changed")).unionByName(parents.select(*columns(PARENT), F.lit(True).alias("changed")))
+        )
+        seen = self.refs.select(*columns(REF), "fault", F.lit(False).alias("fresh")).unionByName(refs.select(*columns(REF), F.lit(None).cast("string").alias("fault"), F.lit(True).alias("fresh")))
+        each = (
+            seen.groupBy("ref_table", "row_id")
+            .agg(F.min(F.struct("ref_at", "parent_kind", "parent_key")).alias("r"), F.max("fault").alias("fault"), F.max("fresh").alias("fresh"))
+            .select("ref_table", "row_id", "r.*", "fault", "fresh")
         )
         if durable:
             merged = cut_lineage(merged)
-        out = judge(pending, merged).unionByName(still.select(*columns(REF), "fault"))
-        return replace(self, parents=merged, refs=cut_lineage(out) if durable else out)
+        # a hot parent's references are spread over copies of its row
+        found = salted_join(each, merged, ["parent_kind", "parent_key"], ["ref_table", "row_id"], "left")
+        judged = F.when(F.col("first_at").isNull() & F.col("removed").isNull(), "missing").when(F.col("removed"), "deleted").when(F.col("first_at") > F.col("ref_at"), "late")
+        out = found.select(*columns(REF), F.when(F.col("fresh") | F.coalesce("changed", F.lit(False)), judged).otherwise(F.col("fault")).alias("fault"))
+        return replace(self, parents=merged.select(*columns(PARENT)), refs=cut_lineage(out) if durable else out)
 
     def faults(self) -> DataFrame:
         """``ref_table, row_id, kind, ref_at`` of all references that have a fault now."""
@@ -86,24 +80,9 @@ def index_parents(parents: DataFrame) -> DataFrame:
     return (
         parents.filter("parent_key is not null")
         .groupBy("parent_kind", "parent_key")
-        .agg(F.min("first_at").alias("first_at"), latest.alias("l"))
-        .select("parent_kind", "parent_key", "first_at", "l.version", "l.removed")
-    )
-
-
-def by_key(refs: DataFrame, parents: DataFrame, how: str) -> DataFrame:
-    """References joined to parents; parents are one row a key, so a hot key is spread over copies of its row."""
-    return salted_join(refs, parents, ["parent_kind", "parent_key"], ["ref_table", "row_id"], how)
-
-
-def judge(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    found = by_key(refs, parents.withColumn("here", F.lit(True)), "left")
-    fault = (
-        F.when(F.col("here").isNull(), "missing")
-        .when(F.col("removed"), "deleted")
-        .when(F.col("first_at") > F.col("ref_at"), "late")
+        .agg(F.min("first_at").alias("first_at"), latest.alias("l"), F.max("changed").alias("changed"))
+        .select("parent_kind", "parent_key", "first_at", "l.version", "l.removed", "changed")
     )
-    return found.select(*columns(REF), fault.alias("fault"))
 
 
 def recording_references(annotations: DataFrame, reviewed: DataFrame, recordings: DataFrame) -> DataFrame:
