@@ -273,7 +273,6 @@ def spikes(b: Batch, step: np.ndarray, longest: np.ndarray, factor: float) -> np
     into = np.flatnonzero(joined & jump) + 1  # first reading after a jump
     held_before = np.r_[True, ~joined | ~jump]  # the reading before i agrees with i, or there is none
     held_after = np.r_[~joined | ~jump, True]
-    into = into[held_before[into - 1]]
     hit = np.zeros(len(x), bool)
     level, bound = x[into - 1], far[into]
     end = into.copy()
@@ -289,7 +288,7 @@ def spikes(b: Batch, step: np.ndarray, longest: np.ndarray, factor: float) -> np
         back = live[~off]
         if len(back):
             eb = end[back]
-            fits = held_after[eb + 1] & (idx[eb] - idx[into[back]] + 1 <= reach[into[back]])
+            fits = (held_before[into[back] - 1] | held_after[eb + 1]) & (idx[eb] - idx[into[back]] + 1 <= reach[into[back]])
             both = np.array([np.all(np.abs(x[a : z + 1] - x[z + 1]) > lim) for a, z, lim in zip(into[back], eb, bound[back])], bool) & fits
             for a, z in zip(into[back][both], eb[both]):
                 hit[a : z + 1] = True
@@ -316,7 +315,7 @@ def flag_blocks(block: int, seconds: float, factor: float, stuck_seconds: float)
             own = b.own(block)
             usable = np.isfinite(fs) & (fs > 0)
             longest = np.where(usable, np.floor(seconds * np.where(usable, fs, 0) + 1e-9), 1).clip(1, 1 << 40).astype(np.int64)
-            least = np.where(usable, np.ceil(stuck_seconds * np.where(usable, fs, 0) - 1e-9).clip(2, 1 << 40), np.iinfo(np.int64).max).astype(np.int64)
+            least = np.where(usable, np.ceil(stuck_seconds * np.where(usable, fs, 0) - 1e-9).clip(2, 1 << 40), 1 << 62).astype(np.int64)
             with np.errstate(invalid="ignore"):
                 out_of_range = ~np.isfinite(b.x) | (np.abs(b.x) > full[b.row])
             spike = spikes(b, step, longest, factor)

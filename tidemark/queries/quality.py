@@ -66,11 +66,11 @@ faults AS (SELECT ref_table, row_id, t0, CASE WHEN NOT here THEN 'missing' WHEN
 
 _P6 = """
 WITH spans AS (
-  SELECT 'annotations' span_table, recording_id r, start_idx s, end_idx e FROM (SELECT * FROM annotations QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1) WHERE deleted_at IS NULL
-  UNION ALL SELECT 'reviewed_spans', recording_id, start_idx, end_idx FROM (SELECT * FROM reviewed_spans QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)),
+  SELECT id, 'annotations' span_table, recording_id r, start_idx s, end_idx e FROM (SELECT * FROM annotations QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1) WHERE deleted_at IS NULL
+  UNION ALL SELECT id, 'reviewed_spans', recording_id, start_idx, end_idx FROM (SELECT * FROM reviewed_spans QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)),
 ok AS (SELECT * FROM spans WHERE e > s AND r IN (SELECT id FROM recordings)),
-g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY span_table, r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END n FROM ok),
-i AS (SELECT *, sum(n) OVER (PARTITION BY span_table, r ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM g),
+g AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY span_table, r ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END n FROM ok),
+i AS (SELECT *, sum(n) OVER (PARTITION BY span_table, r ORDER BY s, e, id ROWS UNBOUNDED PRECEDING) k FROM g),
 p AS (SELECT span_table, r recording_id, min(s) from_idx, max(e) to_idx, count(*) n FROM i GROUP BY span_table, r, k),
 q AS (SELECT *, lead(from_idx) OVER (PARTITION BY span_table, recording_id ORDER BY from_idx) nxt FROM p)
 """
@@ -89,8 +89,8 @@ fin AS (SELECT npy_path, idx, x, k, row_number() OVER w rn, idx - lag(idx) OVER
 step AS (SELECT npy_path, 25 * median(abs(dx)) far FROM fin WHERE gap = 1 AND dx != 0 GROUP BY npy_path),
 j AS (SELECT fin.*, far, gap <= greatest(k, 5) near, abs(dx) > far big FROM fin JOIN step USING (npy_path)),
 h AS (SELECT *, coalesce(NOT near OR NOT big, true) hb, coalesce(NOT lead(near) OVER w OR NOT lead(big) OVER w, true) ha FROM j WINDOW w AS (PARTITION BY npy_path ORDER BY idx)),
-a AS (SELECT n.npy_path, n.rn, n.idx, p.x lvl, n.k, n.far FROM h n JOIN h p ON p.npy_path = n.npy_path AND p.rn = n.rn - 1 WHERE n.near AND n.big AND p.hb),
-z AS (SELECT a.npy_path, a.rn a, e.rn e, a.lvl, nx.x nlvl, a.far FROM a JOIN h e ON e.npy_path = a.npy_path AND e.rn >= a.rn AND e.rn < a.rn + a.k AND e.idx - a.idx + 1 <= a.k JOIN h nx ON nx.npy_path = a.npy_path AND nx.rn = e.rn + 1 AND nx.near AND abs(nx.x - a.lvl) <= a.far AND nx.ha),
+a AS (SELECT n.npy_path, n.rn, n.idx, p.x lvl, p.hb, n.k, n.far FROM h n JOIN h p ON p.npy_path = n.npy_path AND p.rn = n.rn - 1 WHERE n.near AND n.big),
+z AS (SELECT a.npy_path, a.rn a, e.rn e, a.lvl, nx.x nlvl, a.far FROM a JOIN h e ON e.npy_path = a.npy_path AND e.rn >= a.rn AND e.rn < a.rn + a.k AND e.idx - a.idx + 1 <= a.k JOIN h nx ON nx.npy_path = a.npy_path AND nx.rn = e.rn + 1 AND nx.near AND abs(nx.x - a.lvl) <= a.far AND (a.hb OR nx.ha)),
 spike AS (SELECT z.npy_path, z.a, z.e FROM z JOIN h m ON m.npy_path = z.npy_path AND m.rn BETWEEN z.a AND z.e GROUP BY ALL HAVING bool_and(m.near AND abs(m.x - z.lvl) > z.far AND abs(m.x - z.nlvl) > z.far)),
 ex AS (SELECT h.npy_path, h.idx FROM spike JOIN h ON h.npy_path = spike.npy_path AND h.rn BETWEEN spike.a AND spike.e)
 SELECT npy_path, idx FROM far UNION SELECT * FROM stuck UNION SELECT * FROM ex
