@@ -166,12 +166,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over texts joined by separators (symbol 0). Suffixes are sorted by their first ``depth`` symbols, which is
-    enough for patterns up to that length."""
+    """Backward search over texts joined and ended by separators (symbol 0), of symbols up to ``top``. Suffixes are sorted by their first
+    ``depth`` symbols, which is enough for patterns up to that length."""
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    def __init__(self, text: np.ndarray, depth: int, top: int) -> None:
         n = len(text)
-        self.bits = max(1, int(text.max(initial=1)).bit_length())
+        self.bits = max(1, top.bit_length())
         rank = text.astype(np.int64)
         have = 1
         pack = min(62 // self.bits, depth)
@@ -259,7 +259,7 @@ def search_shard(regions: list[list], least: int, anchor: int):
     within = int((begin[indexed] + sizes[indexed]).max()) + 1 if indexed.any() else 0
     if not within:
         return
-    index = FMIndex(joined[:within], anchor)
+    index = FMIndex(joined[:within], anchor, len(letters))
     stride = least - anchor + 1
     owner = np.repeat(np.arange(len(points)), np.maximum(0, (start + sizes - anchor) // stride - (start + stride - 1) // stride + 1))
     nth = np.arange(len(owner)) - np.r_[0, np.cumsum(np.bincount(owner, minlength=len(points)))][owner]
