@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality"]
+MODULES = ["quality", "signals", "features"]
 
 
 def _modules():
@@ -20,6 +20,4 @@ def all_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir: str):
-    from tidemark.queries.quality import p6_found
-
-    return p6_found(spark, sf_dir)
+    return importlib.import_module("tidemark.queries.features").flagship(spark, sf_dir)
