@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "signals", "features"]
+MODULES = ["quality", "signals", "features", "records", "detect"]
 
 
 def _modules():
