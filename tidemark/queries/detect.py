@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 query("lowpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, high=0.1))
 query("bandpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, 0.05, 0.2))
-query("change_points")(lambda s, d: sp.change_points(signal(s, d), 60000.0))
+query("change_points")(lambda s, d: sp.change_points(signal(s, d), 15000.0))
 query("drops")(lambda s, d: sp.drops(signal(s, d), depth_sigmas=1.0))
 query("wavelet_energy")(lambda s, d: sp.per_recording(signal(s, d), sp.morse_energy, "value"))
 query("signal_envelope")(lambda s, d: sp.per_recording(signal(s, d), sp.envelope, "value"))
