@@ -330,3 +330,12 @@ def test_streams(spark, tmp_path):
     assert [r.kind for r in keeper.state.faults().collect()] == ["missing"]
     keeper.batch(spark.createDataFrame([(False, None, None, "k", "a", None, t0, None, False)], cols), 1)
     assert keeper.state.faults().count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_join(spark, rows, how):
+    from tidemark.operators.salting import salted_join
+
+    df = spark.createDataFrame([(k, i) for i in range(60) for k in [1 if i % 3 else i % 7]] + [(None, 99), (50, 98)], "k long, i long")
+    one = spark.createDataFrame([(k, k * 10) for k in range(7)], "k long, v long")
+    assert rows(salted_join(df, one, ["k"], ["i"], how, salts=4, hot=5)) == rows(df.join(one, "k", how))

@@ -242,7 +242,7 @@ def final_quantiles(shares: list[float]):
     return run
 
 
-def quantiles(sketches: DataFrame, shares: list[float], levels: int = 1) -> DataFrame:
+def quantiles(sketches: DataFrame, shares: list[float], levels: int = 2) -> DataFrame:
     """``npy_path, hour, blks, q`` from SKETCH rows; before the last merge, ``levels`` merges of FAN_IN blocks each."""
     one = F.struct("blks", "weight", "points")
     for _ in range(levels):
