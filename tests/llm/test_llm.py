@@ -258,7 +258,8 @@ def brute_spans(docs, least):
 
 
 @pytest.mark.parametrize("parts,chars", [(2048, 1 << 20), (3, 4000)])
-def test_shared_spans_against_brute_force(spark, parts, chars):
+def test_shared_spans_against_brute_force(spark, monkeypatch, parts, chars):
+    monkeypatch.setattr(spans, "PARTS_ASKED", 2 if parts == 3 else 16)
     r = random.Random(parts)
     word = lambda n: "".join(r.choice("abcdefgh éü信\n ") for _ in range(n))
     quotes = [word(n) for n in (30, 31, 45, 60, 200)]

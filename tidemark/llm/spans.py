@@ -4,7 +4,7 @@
 2. Every document is fingerprinted: of the K-grams in each window of ``least - K + 1`` positions the one with the smallest hash is taken. Two
    documents with ``least`` equal characters in a row then have an equal fingerprint inside them. Fingerprints route text to shards, so no document meets all
    others: a fingerprint found in two documents sends the region around it, all that a span of ``least`` characters through it can cover, to the shard of its hash.
-   A fingerprint of very many regions is indexed in several parts, each searched by all its regions.
+   A fingerprint of very many regions is indexed in parts and searched in chunks of bounded size, every part by every chunk.
 3. Each shard holds an FM-index of its regions: the Burrows-Wheeler transform of their code points in a wavelet matrix. Aligned blocks of the regions, one of
    which lies in every span of ``least`` characters, are searched backwards in it, all blocks of the shard at once; matches that survive the whole block
    are extended to both sides, and spans of at least ``least`` characters are reported.
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.salting import salted_join
 from tidemark.session import cut_lineage
 
 LEAST = 200
@@ -26,6 +27,7 @@ GRAM = 48
 ANCHOR = 40
 SHARD_CHARS = 1 << 20
 PART_REGIONS = 2048
+PARTS_ASKED = 16
 SEGMENT = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -325,15 +327,19 @@ def cut_regions(least: int, gram: int):
                 for p in prints:
                     start = max(0, p["pos"] - reach)
                     region = text[start : p["pos"] + gram + reach]
-                    for part in range(p["parts"]):
+                    chunks = -(-p["parts"] // PARTS_ASKED)
+                    mine = p["own"] // PARTS_ASKED
+                    # the region asks every part with its chunk, and is indexed in its own part for every chunk
+                    places = [(part * chunks + mine, part == p["own"]) for part in range(p["parts"])] + [(p["own"] * chunks + c, True) for c in range(chunks) if c != mine]
+                    for place, indexed in places:
                         rows["shard"].append(p["shard"])
-                        rows["part"].append(part)
+                        rows["part"].append(place)
                         rows["doc_id"].append(doc)
                         rows["start"].append(start)
-                        rows["indexed"].append(part == p["own"])
+                        rows["indexed"].append(indexed)
                         rows["text"].append(region)
             if rows["doc_id"]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int64()), pa.array(rows["part"], pa.int32()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["indexed"], pa.bool_()), pa.array(rows["text"], pa.string())], names=list(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int64()), pa.array(rows["part"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["start"], pa.int64()), pa.array(rows["indexed"], pa.bool_()), pa.array(rows["text"], pa.string())], names=list(rows))
 
     return run
 
@@ -349,7 +355,7 @@ class Shared:
         texts = documents.filter((F.length("text") >= least) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("text_key"), F.length("text").cast("long").alias("n"), "text")
         printed = cut_lineage(texts.mapInArrow(fingerprint_batches(least, gram), "doc_id long, text_key string, n long, prints array<struct<h: long, pos: long>>"))
         first = printed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-        self.members = cut_lineage(printed.select("doc_id", "text_key", "n").join(first, "text_key").select("doc_id", "rep", "copies", "n"))
+        self.members = cut_lineage(salted_join(printed.select("doc_id", "text_key", "n"), first, ["text_key"], ["doc_id"]).select("doc_id", "rep", "copies", "n"))
         reps = self.members.filter("doc_id = rep").select("doc_id")
         prints = printed.join(reps, "doc_id", "left_semi").select("doc_id", F.inline("prints"))
         common = prints.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("regions")).filter("a != b")
@@ -358,11 +364,11 @@ class Shared:
         shards = max(1, -(-total * (2 * least - gram) // shard_chars))
         # a fingerprint of several parts has a shard of its own; others share shards by hash
         shard = F.when(F.col("parts") > 1, F.col("h")).otherwise(F.pmod("h", F.lit(shards)))
-        routed = prints.join(common.select("h", "parts", shard.alias("shard")), "h")
+        routed = salted_join(prints, common.select("h", "parts", shard.alias("shard")), ["h"], ["doc_id", "pos"])
         own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
         per_doc = routed.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "shard", "parts", own.alias("own"))).alias("prints"))
         whole = texts.select("doc_id", "text").join(per_doc, "doc_id")
-        regions = whole.select("doc_id", "text", "prints").mapInArrow(cut_regions(least, gram), "shard long, part int, doc_id long, start long, indexed boolean, text string")
+        regions = whole.select("doc_id", "text", "prints").mapInArrow(cut_regions(least, gram), "shard long, part long, doc_id long, start long, indexed boolean, text string")
         lists = regions.groupBy("shard", "part").agg(F.collect_list(F.struct("doc_id", "start", "indexed", "text")).alias("regions"))
         self.found = cut_lineage(lists.select("regions").mapInArrow(shard_batches(least, anchor), FOUND))
 
