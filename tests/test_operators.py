@@ -339,3 +339,32 @@ def test_salted_join_equals_join(spark, rows, how):
     df = spark.createDataFrame([(k, i) for i in range(60) for k in [1 if i % 3 else i % 7]] + [(None, 99), (50, 98)], "k long, i long")
     one = spark.createDataFrame([(k, k * 10) for k in range(7)], "k long, v long")
     assert rows(salted_join(df, one, ["k"], ["i"], how, salts=4, hot=5)) == rows(df.join(one, "k", how))
+
+
+def test_learned_cut_lines():
+    from tidemark.operators import learned
+
+    r = np.random.default_rng(0)
+    v = np.concatenate([r.normal(m, 0.1, 80) for m in (-4, 0, 5)])
+    for cuts in (learned.lloyd_max(v, 3), learned.mode_cuts(v)):
+        assert np.allclose(cuts, [-2, 2.5], atol=0.3)
+    assert len(learned.lloyd_max(np.ones(9), 4)) == 0 and len(learned.mode_cuts(np.ones(9))) == 9
+
+
+def test_ward_against_the_definition():
+    from tidemark.operators import linkage
+
+    x = np.random.default_rng(1).normal(size=(14, 3))
+    x[:5] += 9
+    groups, heights = [[i] for i in range(14)], []
+    while len(groups) > 1:
+        cost = lambda a, b: np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+        h, i, j = min((cost(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        heights.append(h)
+        groups[i] += groups.pop(j)
+    m = linkage.ward(x)
+    assert np.allclose(m[:, 2], heights) and m[-1, 3] == 14
+    assert linkage.suggest(m) == 2 and linkage.cut(m, 2).tolist() == [0] * 5 + [1] * 9
+    assert linkage.silhouette(x, linkage.cut(m, 2)) > 0.6
+    with pytest.raises(ValueError):
+        linkage.ward(x[:1])
