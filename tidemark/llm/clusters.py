@@ -245,9 +245,10 @@ def cluster(windows: DataFrame, eps: float = 0.25, chunk: int = CHUNK) -> DataFr
 
     inside = balls.filter("link is not null").select(F.col("pivot").alias("a"), F.col("link").alias("b"))
     placed = balls.filter("link is null")
-    own = placed.groupBy("window_id").agg(F.min("pivot").alias("pivot"))
-    shared = placed.filter("pivot != window_id").join(own.withColumnRenamed("pivot", "a"), "window_id").select("a", F.col("pivot").alias("b"))
-    shared = shared.unionByName(placed.filter("pivot = window_id").join(own.withColumnRenamed("pivot", "a"), "window_id").select("a", F.col("pivot").alias("b")))
+    own = placed.groupBy("window_id").agg(F.min("pivot").alias("pivot"), F.max("pivot").alias("last"))
+    # only windows in balls of different pivots link anything; in tight clusters the cells mostly agree on the pivot
+    split = own.filter("pivot != last").select("window_id", F.col("pivot").alias("a"))
+    shared = placed.join(split, "window_id").select("a", F.col("pivot").alias("b"))
     between = cut_lineage(chunk_pairs(placed, eps))
     edges = inside.unionByName(shared.filter("a != b")).unionByName(between.filter("sure").select("a", "b"))
     root = components(edges)
@@ -255,7 +256,7 @@ def cluster(windows: DataFrame, eps: float = 0.25, chunk: int = CHUNK) -> DataFr
     if not later.isEmpty():
         root = components(edges.unionByName(touching_pairs(later, placed, rows, eps)))
     of = root.select(F.col("node").alias("pivot"), "root")
-    return salted_join(own, of, ["pivot"], ["window_id"], "left").select("window_id", F.coalesce("root", "pivot").alias("cluster_id"))
+    return salted_join(own.drop("last"), of, ["pivot"], ["window_id"], "left").select("window_id", F.coalesce("root", "pivot").alias("cluster_id"))
 
 
 def chunk_pairs(placed: DataFrame, eps: float) -> DataFrame:
