@@ -176,3 +176,19 @@ def test_sweep_against_brute_force(spark, rows, block):
 def test_sweep_empty(spark):
     df = spark.createDataFrame([], "who string, s long, e long")
     assert sweep.merged_and_gaps(df, ["who"], "s", "e").count() == 0 and sweep.periods(df, ["who"], "s", "e").count() == 0
+
+
+def test_hourly_fences(spark):
+    r = np.random.default_rng(8)
+    xs = [round(float(v), 4) for v in r.normal(size=200)] + [round(float(v), 4) for v in r.normal(50, 1, size=200)]
+    xs[7], xs[250], xs[300] = 40.0, 5.0, float("nan")
+    place = [i if i < 200 else 3600 + i for i in range(400)]
+    samples = spark.createDataFrame([("a", i, x) for i, x in zip(place, xs)], "npy_path string, idx long, x double")
+    limits = spark.createDataFrame([("a", 1e9, 1.0)], LIMITS)
+    got = {row["hour"]: row for row in imp.hourly_fences(samples, limits).collect()}
+    assert set(got) == {0, 1}
+    for hour, part in ((0, xs[:200]), (1, [x for x in xs[200:] if x == x])):
+        q1, q2, q3 = np.quantile(part, [0.25, 0.5, 0.75])
+        row = got[hour]
+        assert abs(row["q1"] - q1) < 0.1 and abs(row["q2"] - q2) < 0.1 and abs(row["q3"] - q3) < 0.1
+        assert row["n_outside"] == sum(x < row["low"] or x > row["high"] for x in part) == 1
