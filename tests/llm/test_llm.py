@@ -74,6 +74,16 @@ def test_subset_counts_is_optimal(seed):
     assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(t - target) for t in totals)
 
 
+def test_deal_counts_true_totals_of_large_inputs():
+    sizes = {1: 500_000, 3: 900_000, 5: 200_000, 700: 900}
+    total = sum(s * n for s, n in sizes.items())
+    assert total > 1 << 22
+    got = splits.deal(sizes, [("train", 0.8), ("test", 0.1), ("val", 0.1)])
+    for name in ("test", "val"):
+        assert sum(s * n for s, n in got[name].items()) == round(total * 0.1)
+    assert all(sum(g.get(s, 0) for g in got.values()) == n for s, n in sizes.items())
+
+
 # ---------------------------------------------------------------- runs
 
 

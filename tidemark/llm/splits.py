@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,6 @@ from tidemark.operators.ranking import hash_order, running
 from tidemark.session import cut_lineage
 from tidemark.tables import first_loaded, session_name
 
-MAX_BITS = 1 << 22
-
 
 def recording_nodes(recordings: DataFrame) -> DataFrame:
     """``recording_id, node``: the session of each recording id; one without ``source_file`` is a session of its own."""
@@ -65,29 +64,40 @@ def subset_counts(multiplicity: dict[int, int], target: int) -> dict[int, int]:
 
     Bit t of a bitset says that total t is reachable. A size's multiplicity is taken in chunks of 1, 2, 4, ..., so a
     size costs a logarithmic number of shift-and-or steps; the bitsets are walked back for the choice. Of two totals equally close, the smaller.
+    Totals are true totals. A bitset has target plus largest size bits: a closest total above the target is less than one group beyond it. Of
+    n bitsets about the square root of n are kept, and those between are made again on the way back, one stretch at a time.
     """
+    limit = target + max(multiplicity, default=0)
+    mask = (1 << (limit + 1)) - 1
     chunks = []
     for size, n in sorted(multiplicity.items()):
         k = 1
         while n > 0:
             take = min(k, n)
-            chunks.append((size, take))
+            if size * take <= limit:
+                chunks.append((size, take))
             n, k = n - take, 2 * k
-    limit = 2 * target + max(multiplicity, default=0) + 1
-    mask = (1 << (limit + 1)) - 1
-    reach = [1]
-    for size, take in chunks:
-        reach.append((reach[-1] | (reach[-1] << (size * take))) & mask)
-    last = reach[-1]
+    stretch = isqrt(len(chunks)) + 1
+    kept, last = [], 1
+    for i, (size, take) in enumerate(chunks):
+        if i % stretch == 0:
+            kept.append(last)
+        last = (last | (last << (size * take))) & mask
     below = (last & ((1 << (target + 1)) - 1)).bit_length() - 1
     high = last >> (target + 1)
     above = target + (high & -high).bit_length() if high else None
     total = below if above is None or target - below <= above - target else above
     out: dict[int, int] = {}
-    for (size, take), before in zip(reversed(chunks), reversed(reach[:-1])):
-        if not (before >> total) & 1:
-            total -= size * take
-            out[size] = out.get(size, 0) + take
+    while kept:
+        first = (len(kept) - 1) * stretch
+        part = chunks[first : first + stretch]
+        reach = [kept.pop()]
+        for size, take in part[:-1]:
+            reach.append((reach[-1] | (reach[-1] << (size * take))) & mask)
+        for (size, take), before in zip(reversed(part), reversed(reach)):
+            if not (before >> total) & 1:
+                total -= size * take
+                out[size] = out.get(size, 0) + take
     assert total == 0
     return out
 
@@ -95,29 +105,17 @@ def subset_counts(multiplicity: dict[int, int], target: int) -> dict[int, int]:
 def deal(sizes: dict[int, int], shares: Sequence[tuple[str, float]]) -> dict[str, dict[int, int]]:
     """For each split, how many groups of each size it gets; the largest split takes what is left.
 
-    Splits are filled from the smallest share on, each as close to its target as the sizes allow. Totals beyond MAX_BITS are
-    counted in units of ``total / MAX_BITS``, which bounds the bitsets; the report states true totals.
+    Splits are filled from the smallest share on, each as close to its target as the sizes allow.
     """
     total = sum(size * n for size, n in sizes.items())
-    unit = max(1, -(-total // MAX_BITS))
     left = dict(sizes)
     out: dict[str, dict[int, int]] = {}
     order = sorted(shares, key=lambda s: (s[1], s[0]))
     for name, share in order[:-1]:
-        target = int(Fraction(share).limit_denominator(10**6) * total / unit + Fraction(1, 2))
-        by_unit: dict[int, list[int]] = {}
-        for size, n in left.items():
-            if n:
-                by_unit.setdefault(max(1, (size + unit // 2) // unit), []).append(size)
-        chosen = subset_counts({u: sum(left[s] for s in ss) for u, ss in by_unit.items()}, target)
-        take: dict[int, int] = {}
-        for u, n in chosen.items():
-            for size in sorted(by_unit[u]):
-                k = min(n, left[size])
-                take[size] = take.get(size, 0) + k
-                left[size] -= k
-                n -= k
-        out[name] = take
+        target = int(Fraction(share).limit_denominator(10**6) * total + Fraction(1, 2))
+        out[name] = subset_counts({size: n for size, n in left.items() if n}, target)
+        for size, n in out[name].items():
+            left[size] -= n
     if order:
         out[order[-1][0]] = left
     return out
