@@ -251,6 +251,23 @@ def test_uncorrelated_and_kept_columns(spark):
     assert prepare.kept_columns(prepare.column_stats(df).collect()) == [1]
 
 
+def test_correlations_of_all_columns(spark):
+    r = np.random.default_rng(3)
+    x = 1e6 + r.normal(size=(400, 12))
+    x[:, 11] = -2 * x[:, 9] + r.normal(0, 0.1, 400)
+    x[r.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "v array<double>").repartition(3)
+    got = {(p.a, p.b): p.r for p in prepare.correlations(df).collect()}
+    assert sorted(got) == list(itertools.combinations(range(12), 2))
+    for (a, b), value in got.items():
+        fine = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        assert abs(value - np.corrcoef(x[fine, a], x[fine, b])[0, 1]) < 1e-7
+    some = {(p.a, p.b): p.r for p in prepare.correlations(df, [9, 11, 20]).collect()}
+    assert list(some) == [(9, 11)] and abs(some[9, 11] - got[9, 11]) < 1e-9 and got[9, 11] < -0.99
+    flat = spark.createDataFrame([([0.1, float(k)],) for k in range(7)], "v array<double>").repartition(3)
+    assert [tuple(p) for p in prepare.correlations(flat).collect()] == [(0, 1, None)]
+
+
 # ---------------------------------------------------------------- recipes, sources, streaming
 
 

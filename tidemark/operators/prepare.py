@@ -31,10 +31,67 @@ def uncorrelated(corr: dict[tuple[int, int], float], columns: list[int], thresho
     return kept
 
 
-def correlations(rows: DataFrame, columns: list[int], vector: str = "v") -> DataFrame:
-    """``a, b, r`` for a < b, from one pass of sums of products (as many as columns squared, not rows)."""
-    pair = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(vector)[a].alias("x"), F.col(vector)[b].alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]])
-    return rows.select(F.inline(pair)).filter(~F.isnan("x") & ~F.isnan("y")).groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+def correlations(rows: DataFrame, columns: list[int] | None = None, vector: str = "v") -> DataFrame:
+    """``a, b, r`` for a < b, over all columns unless some are named; a row counts for a pair where neither value is NaN or null.
+
+    One pass sums products in matrices, centred on each batch's means; tasks give a row a pair, and their means are joined about the common mean.
+    """
+    moments = rows.select(vector).mapInArrow(pair_moments(columns), "a int, b int, n double, ma double, mb double, aa double, bb double, ab double")
+    pair = Window.partitionBy("a", "b")
+    m = moments.select("*", *[(F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair)).alias(f"{c}_all") for c in ("ma", "mb")])
+    m = m.withColumn("ga", F.col("ma") - F.col("ma_all")).withColumn("gb", F.col("mb") - F.col("mb_all"))
+    joined = [F.sum(F.col(s) + F.col("n") * F.col(x) * F.col(y)).alias(s) for s, x, y in (("aa", "ga", "ga"), ("bb", "gb", "gb"), ("ab", "ga", "gb"))]
+    g = m.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("ma_all").alias("ma"), F.first("mb_all").alias("mb"), *joined)
+    # a deviation of rounding size is a constant column: no correlation
+    varies = [F.sqrt(F.col(s) / F.col("n")) > 1e-14 * F.abs(F.col(c)) for s, c in (("aa", "ma"), ("bb", "mb"))]
+    return g.select("a", "b", F.when(varies[0] & varies[1], F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).alias("r"))
+
+
+def pair_moments(columns):
+    """For ``mapInArrow``: of each pair of columns the count, means and centred sums of products over the task's rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            if not len(lists):
+                continue
+            length = lists.value_lengths().to_numpy()
+            x = np.full((len(lists), int(length.max())), np.nan)
+            x[np.arange(x.shape[1]) < length[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            if columns is not None:
+                wide = np.full((len(x), max([x.shape[1], *[c + 1 for c in columns]])), np.nan)
+                wide[:, : x.shape[1]] = x
+                x = wide[:, columns]
+            fine = ~np.isnan(x)
+            centre = np.where(fine, x, 0).sum(0) / np.maximum(fine.sum(0), 1)
+            y, k = np.where(fine, x - centre, 0.0), fine.astype(float)
+            n = k.T @ k
+            some = np.maximum(n, 1)
+            ga, gb = (y.T @ k) / some, (k.T @ y) / some  # means of a and of b over the rows of the pair, from the column's mean
+            part = [n, ga + centre[:, None], gb + centre[None], (y * y).T @ k - n * ga * ga, k.T @ (y * y) - n * gb * gb, y.T @ y - n * ga * gb]
+            if total is None:
+                total = part
+                continue
+            w = max(len(total[0]), len(n))
+            total, part = ([np.pad(m, (0, w - len(m))) for m in ms] for ms in (total, part))
+            n = total[0] + part[0]
+            share = part[0] / np.maximum(n, 1)
+            da, db = part[1] - total[1], part[2] - total[2]
+            between = total[0] * share
+            means = [total[1] + da * share, total[2] + db * share]
+            total = [n, *means, total[3] + part[3] + between * da * da, total[4] + part[4] + between * db * db, total[5] + part[5] + between * da * db]
+        if total is not None:
+            i, j = np.triu_indices(len(total[0]), 1)
+            there = total[0][i, j] > 0
+            i, j = i[there], j[there]
+            name = np.arange(len(total[0])) if columns is None else np.array(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(name[i].astype(np.int32)), pa.array(name[j].astype(np.int32)), *[pa.array(m[i, j]) for m in total]], ["a", "b", "n", "ma", "mb", "aa", "bb", "ab"])
+
+    return run
 
 
 def scaled_rows(rows: DataFrame, key: list[str], columns: list[int] | None = None, vector: str = "v") -> DataFrame:

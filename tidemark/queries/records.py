@@ -144,6 +144,7 @@ query("column_stats", f"WITH {VEC}, e AS (SELECT unnest(range(len(v))) col, unne
     lambda s, d: prepare.column_stats(vectors(s, d)).select("col", "n", "n_nan", r6("mean").alias("mean"), F.round("sd", 6).alias("sd"), r6("mid").alias("mid"))
 )
 query("correlations", f"WITH {VEC} SELECT a::INTEGER a, b::INTEGER b, round(corr(v[a + 1], v[b + 1]), 6) + 0.0 r FROM vec, range(0, 8) x(a), range(0, 8) y(b) WHERE a < b GROUP BY ALL")(lambda s, d: prepare.correlations(vectors(s, d), list(range(8))).withColumn("r", r6("r")))
+query("correlations_all", f"WITH {VEC}, c AS (SELECT unnest(range((SELECT max(len(v)) FROM vec))) c) SELECT a.c::INTEGER a, b.c::INTEGER b, round(corr(v[a.c + 1], v[b.c + 1]), 6) + 0.0 r FROM vec, c a, c b WHERE a.c < b.c AND NOT isnan(v[a.c + 1]) AND NOT isnan(v[b.c + 1]) GROUP BY ALL")(lambda s, d: prepare.correlations(vectors(s, d)).withColumn("r", r6("r")))
 query("scaled_columns", f"WITH {VEC}, e AS (SELECT vec_id, unnest(range(len(v))) col, unnest(v) x FROM vec), s AS (SELECT col, avg(x) m, stddev_pop(x) s FROM e GROUP BY ALL) SELECT vec_id, col::INTEGER col, CASE WHEN s = 0 THEN 0.0 ELSE round((x - m) / s, 6) + 0.0 END z FROM e JOIN s USING (col)")(lambda s, d: prepare.scaled_rows(vectors(s, d), ["vec_id"]).withColumn("z", r6("z")))
 query("centroids", f"WITH {VEC}, e AS (SELECT label, unnest(range(len(v))) col, unnest(v) x FROM vec) SELECT label, col::INTEGER col, round(avg(x), 6) + 0.0 centre, count(*) n FROM e GROUP BY ALL")(lambda s, d: prepare.centroids(vectors(s, d), "label").withColumn("centre", r6("centre")))
 _DIST = f"WITH {VEC}, e AS (SELECT vec_id, label, unnest(range(len(v))) col, unnest(v) x FROM vec), c AS (SELECT label, col, avg(x) m FROM e GROUP BY ALL), cd AS (SELECT vec_id, label, sqrt(sum((x - m) ** 2) / count(*)) distance FROM e JOIN c USING (label, col) GROUP BY ALL)"
