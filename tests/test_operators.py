@@ -90,6 +90,11 @@ def test_near_duplicates_against_brute_force(spark, rows):
     assert rows(overlap.near_duplicates(df)) == sorted(want, key=repr)
 
 
+def test_periods_from_before_the_start_keep_their_rest(spark, rows):
+    df = spark.createDataFrame([(1, -30, 25), (1, 40, 50), (2, -9, 0), (2, -9, -1)], "recording_id long, from_idx long, to_idx long")
+    assert rows(overlap.bucket_cover(overlap.clipped(df), "recording_id", 10)) == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 0.5), (1, 4, 1.0)]
+
+
 def test_running_sums_in_hot_groups(spark):
     df = spark.range(3000).select((F.col("id") % 7 == 0).alias("g"), "id", (F.col("id") % 5).alias("w")).withColumn("h", ranking.hash_order("id"))
     got = ranking.running(df, ["g"], "h", "id", "w").collect()

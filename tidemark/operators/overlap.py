@@ -44,6 +44,11 @@ def near_duplicates(spans: DataFrame, least_iou: float = 0.8, most_ratio: float
     return across.unionByName(inside).select("recording_id", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), "iou")
 
 
+def clipped(periods: DataFrame) -> DataFrame:
+    """Periods cut to positions from 0 on; those that end before are dropped."""
+    return periods.filter("to_idx > 0").withColumn("from_idx", F.greatest("from_idx", F.lit(0)))
+
+
 def bucket_cover(periods: DataFrame, key: str, size: int) -> DataFrame:
     """``key, bucket, fraction``: the covered share of each bucket of ``size`` positions that a merged period touches."""
     first, last = F.floor(F.col("from_idx") / size), F.floor((F.col("to_idx") - 1) / size)

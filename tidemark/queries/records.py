@@ -63,6 +63,9 @@ _BUCK = f"WITH {_REV}, b AS (SELECT *, unnest(range(from_idx // 5000, (to_idx -
 query("bucket_coverage", _BUCK + ", f AS (SELECT recording_id, bucket, least(1.0, sum(least(to_idx, (bucket + 1) * 5000) - greatest(from_idx, bucket * 5000)) / 5000) fraction FROM b GROUP BY ALL) SELECT recording_id, bucket, round(fraction, 6) fraction, CASE WHEN fraction >= 0.95 THEN 'full' ELSE 'partial' END state FROM f")(
     lambda s, d: overlap.bucket_cover(reviewed(s, d).filter("from_idx >= 0"), "recording_id", 5000).select("recording_id", "bucket", F.round("fraction", 6).alias("fraction"), F.when(F.col("fraction") >= 0.95, "full").otherwise("partial").alias("state"))
 )
+query("bucket_coverage_clipped", f"WITH {_REV}, b AS (SELECT recording_id, greatest(from_idx, 0) from_idx, to_idx, unnest(range(greatest(from_idx, 0) // 5000, (to_idx - 1) // 5000 + 1)) bucket FROM per WHERE to_idx > 0), f AS (SELECT recording_id, bucket, least(1.0, sum(least(to_idx, (bucket + 1) * 5000) - greatest(from_idx, bucket * 5000)) / 5000) fraction FROM b GROUP BY ALL) SELECT recording_id, bucket, round(fraction, 6) fraction, CASE WHEN fraction >= 0.95 THEN 'full' ELSE 'partial' END state FROM f")(
+    lambda s, d: overlap.bucket_cover(overlap.clipped(reviewed(s, d)), "recording_id", 5000).select("recording_id", "bucket", F.round("fraction", 6).alias("fraction"), F.when(F.col("fraction") >= 0.95, "full").otherwise("partial").alias("state"))
+)
 query("annotation_density", f"WITH {NOTES} SELECT least(99, greatest(0, floor((start_idx + end_idx) / 2 / 20000)))::BIGINT bucket, verdict, count(*) n FROM notes WHERE end_idx > start_idx GROUP BY ALL")(
     lambda s, d: notes(s, d).filter("end_idx > start_idx").groupBy(F.least(F.lit(99), F.greatest(F.lit(0), F.floor((F.col("start_idx") + F.col("end_idx")) / 2 / 20000))).cast("long").alias("bucket"), "verdict").agg(F.count("*").alias("n"))
 )
