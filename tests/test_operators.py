@@ -17,6 +17,7 @@ from tidemark.operators import spectral as sp
 from tidemark.operators import symbols as sy
 from tidemark.plans import catalogue  # noqa: F401
 from tidemark.plans import recipes as rec
+from tidemark.queries import signals
 from tidemark.sources import files
 from tidemark.streaming import live
 
@@ -95,6 +96,18 @@ def test_periods_from_before_the_start_keep_their_rest(spark, rows):
     assert rows(overlap.bucket_cover(overlap.clipped(df), "recording_id", 10)) == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 0.5), (1, 4, 1.0)]
 
 
+def test_every_label_has_a_status(spark):
+    recs = spark.createDataFrame([(1, "a", 0, 100), (2, "a", 1, 100), (3, "b", 0, 50), (4, "b", 1, 60)], "id long, source_file string, channel long, n_samples long")
+    spans = [(1, -5, 10), (1, 120, 130), (2, 120, 130), (1, 95, 105), (1, 195, 201), (3, 5, 9), (9, 5, 9), (9, -5, 9), (1, 7, 7)]
+    notes = spark.createDataFrame([(k, *s, "seed") for k, s in enumerate(spans)], "id long, recording_id long, start_idx long, end_idx long, verdict string")
+    placed = signals.place_labels(notes, recs)
+    assert {r.id: (r.channel, r.local_start, r.status) for r in placed.collect()} == {
+        0: (-1, 95, "out_of_bounds"), 1: (1, 20, "imported"), 2: (1, 20, "imported"), 3: (0, 95, "straddles"), 4: (1, 95, "out_of_bounds"),
+        5: (None, 5, "no_layout"), 6: (None, 5, "no_layout"), 7: (None, -5, "out_of_bounds"),
+    }
+    assert {r.status: r.n_labels for r in signals.label_counts(placed).collect()} == {"out_of_bounds": 3, "imported": 1, "straddles": 1, "no_layout": 2}
+
+
 def test_running_sums_in_hot_groups(spark):
     df = spark.range(3000).select((F.col("id") % 7 == 0).alias("g"), "id", (F.col("id") % 5).alias("w")).withColumn("h", ranking.hash_order("id"))
     got = ranking.running(df, ["g"], "h", "id", "w").collect()

@@ -174,3 +174,27 @@ def labels(s, d):
 
 query("global_to_local", _LAB + " SELECT id, channel, local_start, n, status FROM l")(lambda s, d: labels(s, d).drop("verdict"))
 query("import_labels", _LAB + ", u AS (SELECT DISTINCT channel, local_start, n, status, verdict FROM l) SELECT status, count(*) n_labels FROM u GROUP BY ALL")(lambda s, d: labels(s, d).drop("id").distinct().groupBy("status").agg(F.count("*").alias("n_labels")))
+_LAB_ALL = f"WITH {NOTES}, {RECS}, lay AS (SELECT source_file, max(n_samples) len, max(n_samples) * count(DISTINCT channel) total FROM recs WHERE source_file IS NOT NULL GROUP BY ALL HAVING count(DISTINCT n_samples) = 1 AND max(n_samples) > 0), m AS (SELECT n.id, r.source_file, len, total, start_idx, end_idx, verdict, floor(start_idx / len)::BIGINT channel FROM notes n LEFT JOIN recs r ON r.id = n.recording_id LEFT JOIN lay USING (source_file) WHERE end_idx > start_idx), l AS (SELECT id, source_file, channel, start_idx - coalesce(channel * len, 0) local_start, end_idx - start_idx n, CASE WHEN start_idx < 0 OR end_idx > total THEN 'out_of_bounds' WHEN len IS NULL THEN 'no_layout' WHEN start_idx - channel * len + (end_idx - start_idx) > len THEN 'straddles' ELSE 'imported' END status, verdict FROM m)"
+
+
+def place_labels(rows, recordings):
+    """Every label window to its source file's channels, of the length and number that its recordings have; starts below 0 are out of bounds.
+
+    A source without recordings, or with channels of different lengths, has no layout; such labels keep their start.
+    """
+    lay = recordings.filter("source_file is not null").groupBy("source_file").agg(F.max("n_samples").alias("len"), F.count_distinct("n_samples").alias("lengths"), F.count_distinct("channel").alias("channels"))
+    lay = lay.filter("lengths = 1 and len > 0").select("source_file", "len", (F.col("len") * F.col("channels")).alias("total"))
+    of = rows.filter("end_idx > start_idx").join(recordings.select(F.col("id").alias("recording_id"), "source_file"), "recording_id", "left").join(lay, "source_file", "left")
+    n, channel = F.col("end_idx") - F.col("start_idx"), F.floor(F.col("start_idx") / F.col("len"))
+    local = F.col("start_idx") - F.coalesce(channel * F.col("len"), F.lit(0))
+    status = F.when((F.col("start_idx") < 0) | (F.col("end_idx") > F.col("total")), "out_of_bounds").when(F.col("len").isNull(), "no_layout").when(local + n > F.col("len"), "straddles").otherwise("imported")
+    return of.select("id", "source_file", channel.alias("channel"), local.alias("local_start"), n.alias("n"), status.alias("status"), "verdict")
+
+
+def label_counts(placed):
+    """Labels of each status; of imported ones, equal windows of one verdict count once."""
+    return placed.withColumn("id", F.when(F.col("status") != "imported", F.col("id"))).distinct().groupBy("status").agg(F.count("*").alias("n_labels"))
+
+
+query("global_to_local_all", _LAB_ALL + " SELECT id, source_file, channel, local_start, n, status FROM l")(lambda s, d: place_labels(notes(s, d), recs(s, d)).drop("verdict"))
+query("import_labels_all", _LAB_ALL + ", u AS (SELECT DISTINCT source_file, channel, local_start, n, status, verdict, CASE WHEN status != 'imported' THEN id END id FROM l) SELECT status, count(*) n_labels FROM u GROUP BY ALL")(lambda s, d: label_counts(place_labels(notes(s, d), recs(s, d))))
