@@ -312,6 +312,16 @@ def test_recipes(spark, tmp_path):
         rec.register(rec.get("preprocessing", "detrend"))
 
 
+def test_recipe_over_all_recordings(spark):
+    df = sig(spark, *[np.sin(np.arange(90 + 7 * k) / (k + 2)) for k in range(4)])
+    chain = [{"stage": "preprocessing", "algorithm": "detrend"}, {"stage": "detection", "algorithm": "trend_symbols"}]
+    got = sorted(map(tuple, rec.compile_plan(rec.make(None, chain), df).collect()))
+    assert got and got == sorted(tuple(r) for k in range(4) for r in rec.compile_plan(rec.make(k, chain), df).collect())
+    assert rec.full_hash(rec.make(None, chain)) != rec.full_hash(rec.make(0, chain))
+    with pytest.raises(PermissionError):
+        rec.compile_plan(rec.make(None, chain), df, held_out=frozenset({3}))
+
+
 @pytest.mark.parametrize("op", [f"{o.stage}.{o.name}" for o in rec.operators()])
 def test_every_operator_runs_with_defaults(spark, op):
     stage, name = op.split(".")

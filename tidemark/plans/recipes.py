@@ -1,6 +1,6 @@
-"""Typed recipes: a hashed chain of operators over one recording span that becomes one Spark plan.
+"""Typed recipes: a hashed chain of operators over one recording span, or over all recordings, that becomes one Spark plan.
 
-``{"recording_id": int, "span": [start, end] or null, "steps": [{"stage", "algorithm", "params"}]}``. A step's declared input
+``{"recording_id": int or null for all, "span": [start, end] or null, "steps": [{"stage", "algorithm", "params"}]}``. A step's declared input
 kind must be what the step before it gives; the chain starts from ``signal``. Nothing runs until the result is read.
 """
 
@@ -73,13 +73,13 @@ def operators(stage: str | None = None) -> list[Operator]:
     return [op for (s, _), op in sorted(_registry.items()) if stage in (None, s)]
 
 
-def make(recording_id: int, steps: list[dict], span: tuple[int, int] | None = None) -> dict:
+def make(recording_id: int | None, steps: list[dict], span: tuple[int, int] | None = None) -> dict:
     if span is not None and not span[0] < span[1]:
         raise ValueError("a span must increase")
     for step in steps:
         if any(hasattr(v, "__array__") for v in step.get("params", {}).values()):
             raise TypeError("arrays cannot be parameters")
-    return {"recording_id": int(recording_id), "span": None if span is None else [int(span[0]), int(span[1])], "steps": [{"stage": s["stage"], "algorithm": s["algorithm"], "params": dict(s.get("params", {}))} for s in steps]}
+    return {"recording_id": None if recording_id is None else int(recording_id), "span": None if span is None else [int(span[0]), int(span[1])], "steps": [{"stage": s["stage"], "algorithm": s["algorithm"], "params": dict(s.get("params", {}))} for s in steps]}
 
 
 def canonical(recipe: dict) -> str:
@@ -117,13 +117,15 @@ def problems(recipe: dict) -> list[str]:
 
 
 def compile_plan(recipe: dict, signal: DataFrame, held_out: frozenset[int] = frozenset(), unlocked: bool = False) -> DataFrame:
-    """The recipe's DataFrame over ``signal``; indices stay those of the channel, not of the span."""
+    """The recipe's DataFrame over ``signal``; indices stay those of the channel, not of the span. One over all recordings would read held-out ones too."""
+    if recipe["recording_id"] is None and held_out and not unlocked:
+        raise PermissionError(f"{len(held_out)} recordings are held out")
     if recipe["recording_id"] in held_out and not unlocked:
         raise PermissionError(f"recording {recipe['recording_id']} is held out")
     wrong = problems(recipe)
     if wrong:
         raise ValueError("; ".join(wrong))
-    df = signal.filter(F.col("recording_id") == recipe["recording_id"])
+    df = signal if recipe["recording_id"] is None else signal.filter(F.col("recording_id") == recipe["recording_id"])
     if recipe["span"]:
         df = df.filter((F.col("idx") >= recipe["span"][0]) & (F.col("idx") < recipe["span"][1]))
         width = recipe["span"][1] - recipe["span"][0]

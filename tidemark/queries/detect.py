@@ -160,11 +160,21 @@ def families(s, d):
     return g.groupBy("tag").agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_width"), F.max("w").alias("max_width"), F.percentile("gap", 0.5).alias("median_gap"))
 
 
-@query("recipe_result", _DSAX + " SELECT recording_id, seg, symbol FROM sym WHERE recording_id = 7")
-def recipe_result(s, d):
-    """A recipe of two steps as one plan."""
+def recipe(recording_id, s, d):
     from tidemark.plans import catalogue  # noqa: F401
     from tidemark.plans.recipes import compile_plan, make
 
     steps = [{"stage": "preprocessing", "algorithm": "detrend", "params": {"window": 20}}, {"stage": "detection", "algorithm": "trend_symbols"}]
-    return compile_plan(make(7, steps), signal(s, d)).select(R, "seg", "symbol")
+    return compile_plan(make(recording_id, steps), signal(s, d)).select(R, "seg", "symbol")
+
+
+@query("recipe_result", _DSAX + " SELECT recording_id, seg, symbol FROM sym WHERE recording_id = 7")
+def recipe_result(s, d):
+    """A recipe of two steps as one plan."""
+    return recipe(7, s, d)
+
+
+@query("recipe_result_all", _DSAX + " SELECT recording_id, seg, symbol FROM sym")
+def recipe_result_all(s, d):
+    """The recipe over all recordings as one plan."""
+    return recipe(None, s, d)
