@@ -17,7 +17,7 @@ from tidemark.operators import spectral as sp
 from tidemark.operators import symbols as sy
 from tidemark.plans import catalogue  # noqa: F401
 from tidemark.plans import recipes as rec
-from tidemark.queries import signals
+from tidemark.queries import records, signals
 from tidemark.sources import files
 from tidemark.streaming import live
 
@@ -108,6 +108,12 @@ def test_every_label_has_a_status(spark):
     assert {r.status: r.n_labels for r in signals.label_counts(placed).collect()} == {"out_of_bounds": 3, "imported": 1, "straddles": 1, "no_layout": 2}
 
 
+def test_density_per_recording(spark, rows):
+    recs = spark.createDataFrame([(1, 1000), (2, 10_000_000)], "id long, n_samples long")
+    spans = spark.createDataFrame([(1, 500, 510, "seed"), (2, 5_000_000, 5_000_010, "seed"), (2, 9_000_000, 9_000_010, "seed"), (3, 5, 9, "seed")], "recording_id long, start_idx long, end_idx long, verdict string")
+    assert rows(records.density(spans, recs)) == [(1, 50, "seed", 1), (2, 50, "seed", 1), (2, 90, "seed", 1), (3, None, "seed", 1)]
+
+
 def test_running_sums_in_hot_groups(spark):
     df = spark.range(3000).select((F.col("id") % 7 == 0).alias("g"), "id", (F.col("id") % 5).alias("w")).withColumn("h", ranking.hash_order("id"))
     got = ranking.running(df, ["g"], "h", "id", "w").collect()

@@ -69,6 +69,16 @@ query("bucket_coverage_clipped", f"WITH {_REV}, b AS (SELECT recording_id, great
 query("annotation_density", f"WITH {NOTES} SELECT least(99, greatest(0, floor((start_idx + end_idx) / 2 / 20000)))::BIGINT bucket, verdict, count(*) n FROM notes WHERE end_idx > start_idx GROUP BY ALL")(
     lambda s, d: notes(s, d).filter("end_idx > start_idx").groupBy(F.least(F.lit(99), F.greatest(F.lit(0), F.floor((F.col("start_idx") + F.col("end_idx")) / 2 / 20000))).cast("long").alias("bucket"), "verdict").agg(F.count("*").alias("n"))
 )
+query("annotation_density_each", f"WITH {NOTES}, {RECS} SELECT recording_id, CASE WHEN n_samples > 0 THEN least(99, greatest(0, floor((start_idx + end_idx) / 2 * 100 / n_samples)))::BIGINT END bucket, verdict, count(*) n FROM notes LEFT JOIN recs ON recs.id = notes.recording_id WHERE end_idx > start_idx GROUP BY ALL")(lambda s, d: density(notes(s, d), recs(s, d)))
+
+
+def density(spans, recordings):
+    """Midpoints per hundredth of their recording; those outside it in its first or last, the bucket null where its length is unknown."""
+    at = F.floor((F.col("start_idx") + F.col("end_idx")) / 2 * 100 / F.col("n_samples"))
+    rows = spans.filter("end_idx > start_idx").join(recordings.select(F.col("id").alias("recording_id"), "n_samples"), "recording_id", "left")
+    return rows.groupBy("recording_id", F.when(F.col("n_samples") > 0, F.least(F.lit(99), F.greatest(F.lit(0), at))).cast("long").alias("bucket"), "verdict").agg(F.count("*").alias("n"))
+
+
 query("annotation_filter", f"WITH {NOTES} SELECT id, recording_id, verdict, tag FROM notes WHERE verdict IN ('seed', 'interesting') AND source IN ('manual_ui', 'batch_review') AND contains(lower(coalesce(note, '') || ' ' || coalesce(tag, '')), 'ro')")(
     lambda s, d: notes(s, d).filter(F.col("verdict").isin("seed", "interesting") & F.col("source").isin("manual_ui", "batch_review") & F.lower(F.concat(F.coalesce("note", F.lit("")), F.lit(" "), F.coalesce("tag", F.lit("")))).contains("ro")).select("id", "recording_id", "verdict", "tag")
 )
