@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import falls
 from tidemark.operators import frames as fr
 from tidemark.operators import islands as isl
 from tidemark.operators import measures as me
@@ -187,15 +188,47 @@ def test_change_points_against_all_splits(seed):
     assert sp.pelt_l2(x, 2.0, 2, 5) == best_split(x, 2.0, 2, 5)
 
 
+def cliff(n=1200, at=300, rise=400, fall=4, top=10.0):
+    x = np.zeros(n)
+    x[at : at + rise] = np.linspace(0, top, rise)
+    x[at + rise : at + rise + fall] = np.linspace(top, 0, fall)
+    return x
+
+
+CLIFF = {"detrend_s": 2400.0, "same_fraction": 0.5, "slope_sigma": 4.0}
+
+
 def test_ramp_then_cliff_is_one_drop(spark):
-    x = np.zeros(1200)
-    x[300:700] = np.linspace(0, 10, 400)
-    x[700:704] = np.linspace(10, 0, 5)[1:]
-    x += np.random.default_rng(1).normal(0, 0.01, 1200)
-    found = sp.find_drops(x, per_segment=40)
-    assert len(found) == 1 and abs(found[0][1] - 700) <= 3 and found[0][3] == pytest.approx(10, abs=0.2)
-    assert sp.find_drops(np.zeros(1000)) == [] and sp.find_drops(np.full(5, -0.42)) == []
-    assert len(sp.find_drops(np.r_[x, x], per_segment=40)) == 2
+    rows, count = falls.detect(cliff(), **CLIFF)
+    assert len(rows) == 1 and 700 <= rows[0][2] <= 702 and rows[0][4] < 0 and count["confirmed"] == 1
+    for flat in (np.zeros(1000), np.full(1000, -0.42), np.zeros(2), np.zeros(0)):
+        assert falls.detect(flat, **CLIFF)[0] == []
+    assert falls.detect(np.linspace(0, 1, 1200), **{**CLIFF, "detrend_s": 300})[1]["confirmed"] == 0
+    two = np.r_[cliff(), cliff()]
+    assert [700 <= r[2] - k * 1200 <= 702 for k, r in enumerate(falls.detect(two, **CLIFF)[0])] == [True, True]
+    narrow = falls.detect(two, **{**CLIFF, "detrend_s": 600.0})[0]  # the mean's own recovery falls slowly
+    assert len(narrow) == 3 and sum(r[6] > 100 and r[5] < 3 for r in narrow) == 1
+    two[1500:1900], two[1900:1904] = np.linspace(0, 20, 400), np.linspace(20, 0, 4)
+    rows, count = falls.detect(two, **CLIFF, separation_s=2000.0)
+    assert len(rows) == 1 and rows[0][2] > 1200 and count["rejected_duplicate"] == 1
+    df = sig(spark, cliff(), np.zeros(10))
+    assert [r.recording_id for r in falls.drops(df, **CLIFF).collect()] == [0]
+    assert {(r.recording_id, r.n) for r in falls.drop_counts(df, **CLIFF).filter("stage = 'confirmed'").collect()} == {(0, 1), (1, 0)}
+    assert falls.drop_gradients(df, **CLIFF).first().max_slope < -2
+
+
+def test_fall_parts():
+    ramp = np.r_[np.zeros(20), np.linspace(0, -30, 31)]
+    assert falls.gradients(ramp, 25, 45) == pytest.approx((-1, -1, -1, 1))
+    assert falls.gradients(ramp[:2], 0, 1) == (0, 0, 0, 0)
+    up = lambda w: np.array(["DSU".index(c) for c in w])
+    assert falls.bridged_rises(up("UUSUUDUSSU"), 0) == [(0, 2), (3, 5), (6, 7), (9, 10)]
+    assert falls.bridged_rises(up("UUSUUDUSSU"), 1) == [(0, 5), (6, 7), (9, 10)]
+    assert falls.bridged_rises(up("UUSUUDUSSU"), 2) == [(0, 5), (6, 10)]
+    r = np.random.default_rng(3).normal(size=20000)
+    assert falls.slope_noise(r) == pytest.approx(np.gradient(r).std(), rel=0.05)
+    assert falls.slope_noise(np.arange(50.0)) == pytest.approx(0.049, rel=0.1) or falls.slope_noise(np.arange(50.0)) > 0
+    assert falls.slope_noise(np.ones(50)) == 0
 
 
 def test_surrogates():
@@ -256,12 +289,92 @@ def test_profile_tiles_agree(spark):
     i = np.arange(len(z))
     d[np.abs(i[:, None] - i[None]) <= 2] = np.inf
     assert np.allclose([r.dist for r in small], d.min(1)) and small[10].other == 60 and small[10].right == 60 and small[60].left == 10
-    assert [(r.idx, r.following) for r in profile.chains(profile.matrix_profile(sig(spark, x), 8)).collect() if r.idx == 10] == [(10, 60)]
-    seeds = {(r.seed, r.member) for r in profile.motif_groups(sig(spark, x), 8, 1).collect()}
-    assert (10, 60) in seeds
+    whole = profile.matrix_profile(sig(spark, x), 8)
+    assert [(r.idx, r.following) for r in profile.links(whole).collect() if r.idx == 10] == [(10, 60)]
+    groups = profile.motif_groups(sig(spark, x), whole, 8, 2)
+    assert {(r.seed, r.member, r.rank) for r in groups.collect()} >= {(10, 10, 0), (10, 60, 1)}
     assert profile.matrix_profile(sig(spark, [1.0, 2.0]), 8).count() == 0
 
 
+def test_chains_are_links_end_to_end(spark):
+    near = [(0, 0, None, 5), (0, 5, 0, 9), (0, 9, 5, None), (0, 2, None, 7), (0, 7, 2, 9), (1, 3, None, None)]
+    df = spark.createDataFrame(near, "recording_id long, idx long, left long, right long")
+    got = {(r.chain, r.pos, r.idx, r.length, r.longest) for r in profile.chains(df).collect()}
+    assert got == {(0, 0, 0, 3, True), (0, 1, 5, 3, True), (0, 2, 9, 3, True), (2, 0, 2, 2, False), (2, 1, 7, 2, False)}
+    r = np.random.default_rng(1)
+    near = [(0, k, k - 1 if k else None, k + 1) for k in range(200)]
+    long = profile.chains(spark.createDataFrame(near, "recording_id long, idx long, left long, right long")).collect()
+    assert sorted((c.pos, c.idx) for c in long) == [(k, k) for k in range(200)] and r is not None
+
+
+def test_motif_groups_find_planted_patterns(spark):
+    r, m = np.random.default_rng(0), 30
+    t = np.linspace(0, 2 * np.pi, m)
+    x = r.standard_normal(3000) * 0.02
+    places = {0: [200, 700, 1200], 1: [1800, 2200, 2600]}
+    for k, starts in places.items():
+        for at in starts:
+            x[at : at + m] = np.sin((k + 1) * t) + r.standard_normal(m) * 1e-4
+    df = sig(spark, x)
+    rows = profile.motif_groups(df, profile.matrix_profile(df, m), m, 3, most=5).collect()
+    groups = {}
+    for g in rows:
+        groups.setdefault((g.profile_distance, g.seed), []).append(g.member)
+    first = [sorted(v) for _, v in sorted(groups.items())]
+    close = lambda a, b: all(abs(p - q) <= 2 for p, q in zip(a, b))
+    for starts in places.values():
+        assert any(close(g, starts) for g in first[:3])
+    seeds = sorted(s for _, s in groups)
+    assert len(groups) == 5 and all(b - a > m // 2 for a, b in zip(seeds, seeds[1:]))
+
+
+def test_catalogue_texts(spark):
+    from tidemark.operators import parsing
+
+    cases = [("16 cycles", None, 16), ("4x sharkfin sequence", None, 4), ("14x sharkfin sequence", None, 14), ("2 sharps", None, 2), ("Regular sequence of 100 furrycaterpillars", None, 100), ("3 sequences", None, 3),
+             (None, "60 spikes (7mV) then 40 spikes (6mV)", None), ("nested sharkfin sequence", None, None), ("single cycle; type specimen", None, 1), ("1 sharkfin", None, 1), ("2 spikes", "3 spikes", None), (None, None, None), ("", "", None)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
+    got = [r.n for r in df.orderBy("k").select(parsing.event_count(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == [n for *_, n in cases]
+    vocab = ["sharkfin", "trough", "crestedwave", "stegasaurus"]
+    cells = [("crestedwave ; sharkfin", ["crestedwave", "sharkfin"]), ("sharkfins, troughs", ["sharkfin", "trough"]), ("Stegasauras", ["stegasaurus"]), ("Rolling  Hills", ["rolling_hills"]), (None, []), (" ; ,", []), ("a/b", ["a/b"])]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cells)], "k int, c string")
+    assert [r.t for r in df.orderBy("k").select(parsing.terms(F.col("c"), vocab).alias("t")).collect()] == [t for _, t in cells]
+    texts = [("single cycle; type specimen", "", True), ("1 sharkfin", "", True), ("nested sharkfin sequence", "", False), (None, None, False)]
+    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, a string, b string, p boolean").orderBy("k")
+    assert [tuple(r) for r in df.select(parsing.structure_kind(F.col("a")), parsing.relation_kind(F.col("a"), F.col("b"), F.col("p"))).collect()] == [("type_specimen", "type_specimen"), (None, "sub_window"), ("nested_sequence", None), (None, None)]
+    one = spark.createDataFrame([(3, 3, 0), (3, 4, 7)], "pack long, channel long, parent long")
+    assert [r[0] for r in one.filter('channel = 3').select(parsing.global_channel(F.col("pack"), F.col("channel"))).collect()] == [15]
+    with pytest.raises(Exception, match="no such channel"):
+        one.select(parsing.global_channel(F.col("pack"), F.col("channel"))).collect()
+    assert [r[0] for r in one.select(parsing.global_channel(F.col("pack"), F.col("channel"), strict=False)).collect()] == [15, None]
+    assert [r[0] for r in one.select(parsing.parent_id(F.col("parent"))).collect()] == [None, 7]
+    assert [tuple(r) for r in one.select(parsing.sample_index(F.lit(337.9), F.lit(1.0)), parsing.sample_index(F.lit(0.5), F.lit(2.0))).collect()] == [(1216440, 3600)] * 2
+
+
+def test_bands_hold_their_upper_bounds(spark):
+    seconds = [(0, "short"), (60, "short"), (61, "medium"), (600, "medium"), (900, "medium"), (901, "long"), (3600, "long"), (3601, "very_long"), (21600, "very_long"), (21601, "extreme"), (None, None)]
+    counts = [(4, "short"), (5, "medium"), (9, "medium"), (10, "long"), (1000, "long"), (None, None)]
+    for cases, bands in ((seconds, records.DURATION_BANDS), (counts, records.TRAIN_BANDS)):
+        df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k int, v long").orderBy("k")
+        assert [r[0] for r in df.select(records.band(F.col("v"), bands)).collect()] == [b for _, b in cases]
+
+
+def test_segment_plans(spark):
+    df = spark.createDataFrame([(265,), (1000,), (20,), (7201,)], "n long").withColumn("target", sy.recommended_symbols(F.col("n")))
+    got = sy.planned(df, F.greatest(F.lit(1), F.bround(F.col("n") / F.col("target"), 0)), "n").orderBy("n").collect()
+    assert [(r.n, r.symbols, r.per_symbol, r.trimmed) for r in got] == [(20, 20, 1, 0), (265, 15, 17, 10), (1000, 50, 20, 0), (7201, 257, 28, 5)]
+    assert all(math.floor(r.dim_ratio * r.n) == r.symbols for r in got)
+    with pytest.raises(ValueError):
+        sy.samples_asked("letters", 1, F.lit(1), F.lit(1))
+
+
+def test_spectral_entropy_is_of_the_power():
+    x = 3 + np.cos(np.arange(64) * np.pi / 4)  # power 192^2 at 0 and 32^2 at one frequency
+    p = np.array([192.0**2, 32.0**2])
+    assert me.spectral_entropy(x) == pytest.approx(-(p / p.sum() * np.log2(p / p.sum())).sum())
+
+
 def test_search_blocks_agree(spark, rows):
     r = np.random.default_rng(7)
     df = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(90)], "id long, v array<double>")
@@ -314,6 +427,11 @@ def test_recipes(spark, tmp_path):
     assert rec.tier(None) is None and [rec.tier(x) for x in (60, 61, 901)] == ["interactive", "background", "cluster"]
     a, b = (rec.content_hash(x).collect() for x in (df, df.orderBy(F.desc("idx"))))
     assert sorted(a) == sorted(b)
+    twice = rec.content_hash(df.unionByName(df)).collect()
+    assert not {r.content for r in twice} & {r.content for r in a}  # equal rows do not cancel
+    with pytest.raises(PermissionError):
+        runs.run(r, df, "v1", held_out=frozenset([r["recording_id"]]))
+    assert runs.run(r, df, "v1", held_out=frozenset([r["recording_id"]]), unlocked=True).count() == len(first)
     with pytest.raises(ValueError):
         rec.register(rec.get("preprocessing", "detrend"))
 

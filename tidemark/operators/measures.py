@@ -40,9 +40,9 @@ def bits(p: np.ndarray) -> float:
 
 
 def spectral_entropy(x: np.ndarray) -> float:
-    """Bits over the amplitudes of the one-sided spectrum, the constant term included."""
-    a = np.abs(np.fft.rfft(x))
-    return bits(a / a.sum()) if a.sum() > 0 else math.nan
+    """Bits over the power of the one-sided spectrum, the constant term included."""
+    power = np.abs(np.fft.rfft(x)) ** 2
+    return bits(power / power.sum()) if power.sum() > 0 else math.nan
 
 
 def svd_entropy(x: np.ndarray, order: int = 3) -> float:

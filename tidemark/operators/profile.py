@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 TILE = 4096
 
 
@@ -38,22 +40,21 @@ def tile_minima(m: int, exclusion: int):
                     continue
                 za, zb = z_windows(xa, m), z_windows(xb, m)
                 i, j = a0 + np.arange(len(za)), b0 + np.arange(len(zb))
-                for at in range(0, len(za), 256):
-                    d2 = np.zeros((min(256, len(za) - at), len(zb)))
-                    for t in range(m):
-                        d2 += (za[at : at + 256, t, None] - zb[None, :, t]) ** 2
-                    ii = i[at : at + 256]
-                    near = np.abs(ii[:, None] - j[None]) <= exclusion
-                    for s, mask in ((-1, j[None] >= ii[:, None]), (1, j[None] <= ii[:, None])):
-                        masked = np.where(near | mask, np.inf, d2)
-                        best = masked.argmin(1)
-                        low = masked[np.arange(len(ii)), best]
-                        ok = np.isfinite(low)
-                        rec += [batch.column("recording_id")[k].as_py()] * int(ok.sum())
-                        idx.append(ii[ok])
-                        other.append(j[best[ok]])
-                        dist.append(np.sqrt(low[ok]))
-                        side += [s] * int(ok.sum())
+                for here, there, zh, zt in ((i, j, za, zb), (j, i, zb, za)) if a0 != b0 else ((i, j, za, zb),):
+                    for at in range(0, len(zh), 512):
+                        part, ii = zh[at : at + 512], here[at : at + 512]
+                        # rows of zeros (no variation) have no length of their own, so squares are summed
+                        d2 = (part * part).sum(1)[:, None] + (zt * zt).sum(1)[None] - 2 * part @ zt.T
+                        d2[np.abs(ii[:, None] - there[None]) <= exclusion] = np.inf
+                        for s, mask in ((-1, there[None] >= ii[:, None]), (1, there[None] <= ii[:, None])):
+                            masked = np.where(mask, np.inf, d2)
+                            best = masked.argmin(1)
+                            ok = np.isfinite(masked[np.arange(len(ii)), best])
+                            rec += [batch.column("recording_id")[k].as_py()] * int(ok.sum())
+                            idx.append(ii[ok])
+                            other.append(there[best[ok]])
+                            dist.append(np.sqrt(((part[ok] - zt[best[ok]]) ** 2).sum(1)))
+                            side += [s] * int(ok.sum())
             cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
             yield pa.RecordBatch.from_arrays([pa.array(rec, batch.schema.field("recording_id").type), pa.array(cat(idx, np.int64)), pa.array(cat(other, np.int64)), pa.array(cat(dist, float)), pa.array(side, pa.int32())], names=["recording_id", "idx", "other", "dist", "side"])
 
@@ -63,17 +64,17 @@ def tile_minima(m: int, exclusion: int):
 def matrix_profile(signal: DataFrame, m: int, exclusion: int | None = None, tile: int = TILE) -> DataFrame:
     """``recording_id, idx, dist, other, left, right``: distance to and place of the nearest window, and the nearest on either side.
 
-    Windows at most ``exclusion`` (m // 4) apart do not count. A recording is cut into tiles of ``tile`` samples with m - 1 more; each pair of tiles is one
+    Windows at most ``exclusion`` (a quarter of m, rounded up) apart do not count. A recording is cut into tiles of ``tile`` samples with m - 1 more; each pair of tiles is one
     group, so a long recording is many tasks of bounded size; minima are combined afterwards.
     """
-    zone = m // 4 if exclusion is None else exclusion
+    zone = -(-m // 4) if exclusion is None else exclusion
     own = F.floor(F.col("idx") / tile).cast("long")
     at = F.pmod("idx", F.lit(tile))
     into = F.when((at < m - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     tiles = signal.select("recording_id", "idx", "x", F.explode(into).alias("t")).groupBy("recording_id", "t").agg(F.collect_list(F.struct("idx", "x")).alias("pts"))
     a = tiles.select("recording_id", F.col("t").alias("ta"), F.col("pts").alias("rows"))
     b = tiles.select("recording_id", F.col("t").alias("tb"), F.col("pts").alias("cols"))
-    pairs = a.join(b, "recording_id").select("recording_id", "rows", "cols")
+    pairs = a.join(b, "recording_id").filter("ta <= tb").select("recording_id", "rows", "cols")  # each pair of tiles once, for both
     kind = dict(signal.dtypes)["recording_id"]
     found = pairs.mapInArrow(tile_minima(m, zone), f"recording_id {kind}, idx long, other long, dist double, side int")
     near = F.min(F.struct(F.round("dist", 9).alias("near"), "other", "dist"))
@@ -81,49 +82,95 @@ def matrix_profile(signal: DataFrame, m: int, exclusion: int | None = None, tile
     return g.select("recording_id", "idx", "n.dist", "n.other", F.col("l.other").alias("left"), F.col("r.other").alias("right"))
 
 
-def chains(profile: DataFrame) -> DataFrame:
+def links(profile: DataFrame) -> DataFrame:
     """``recording_id, idx, following``: links that hold both ways, a window's right neighbour whose left neighbour is the window."""
     back = profile.select("recording_id", F.col("idx").alias("right"), F.col("left").alias("back"))
     both = profile.filter("right is not null").select("recording_id", "idx", "right").join(back, ["recording_id", "right"]).filter("back = idx")
     return both.select("recording_id", "idx", F.col("right").alias("following"))
 
 
-def motif_groups(signal: DataFrame, m: int, neighbours: int) -> DataFrame:
-    """``recording_id, seed, member, distance, rank``: greedy groups by ascending profile; a window near a taken one is not used again.
+def chains(profile: DataFrame) -> DataFrame:
+    """``recording_id, chain, pos, idx, length, longest``: links joined end to end; ``chain`` is the first window, ``pos`` counts from 0.
 
-    Choice is sequential in a recording, so each recording is one group of its own windows.
+    A window has one link at most on either side, so chains do not branch; they are followed by doubling steps, a join for each power of
+    two of the longest chain's length. ``longest`` marks the recording's longest chain, of equally long ones the first.
+    """
+    key = ["recording_id", "idx"]
+    step = cut_lineage(links(profile))
+    ends = step.select("recording_id", "idx").unionByName(step.select("recording_id", F.col("following").alias("idx"))).distinct()
+    back = step.select("recording_id", F.col("following").alias("idx"), F.col("idx").alias("root"))
+    at = cut_lineage(ends.join(back, key, "left").select(*key, F.coalesce("root", "idx").alias("root"), F.when(F.col("root").isNull(), 0).otherwise(1).cast("long").alias("pos")))
+    while True:
+        up = at.select("recording_id", F.col("idx").alias("root"), F.col("root").alias("up"), F.col("pos").alias("more"))
+        at = cut_lineage(at.join(up, ["recording_id", "root"]).select(*key, F.col("up").alias("root"), (F.col("pos") + F.col("more")).alias("pos"), (F.col("more") > 0).alias("moved")))
+        if at.filter("moved").isEmpty():
+            break
+        at = at.drop("moved")
+    size = at.groupBy("recording_id", "root").agg(F.count("*").alias("length"))
+    top = size.groupBy("recording_id").agg(F.min(F.struct((-F.col("length")).alias("l"), "root")).alias("t")).select("recording_id", F.col("t.root").alias("best"))
+    return at.join(size, ["recording_id", "root"]).join(top, "recording_id").select("recording_id", F.col("root").alias("chain"), "pos", "idx", "length", (F.col("root") == F.col("best")).alias("longest"))
+
+
+def distances_from(x: np.ndarray, at: int, m: int) -> np.ndarray:
+    """Distance of every window of ``x`` to the window at ``at``, both z-normalised, in pieces of bounded size."""
+    query = z_windows(x[at : at + m], m)[0]
+    out = np.empty(len(x) - m + 1)
+    for a in range(0, len(out), TILE * 4):
+        part = z_windows(x[a : a + TILE * 4 + m - 1], m)
+        out[a : a + len(part)] = np.sqrt(((part - query) ** 2).sum(1))
+    return out
+
+
+def nearest_first(d: np.ndarray, zone: int, most: int, limit: float) -> list[int]:
+    """Positions by ascending distance, each more than ``zone`` from those before it."""
+    d = d.copy()
+    out: list[int] = []
+    while len(out) < most:
+        k = int(d.argmin())
+        if not np.isfinite(d[k]) or d[k] > limit:
+            break
+        out.append(k)
+        d[max(0, k - zone) : k + zone + 1] = np.inf
+    return out
+
+
+def motif_groups(signal: DataFrame, profile: DataFrame, m: int, neighbours: int, most: int = 10, max_distance: float | None = None) -> DataFrame:
+    """``recording_id, seed, profile_distance, member, distance, rank``: groups of alike windows by ascending profile.
+
+    The free window of the least profile distance is a seed; its group is its ``neighbours`` nearest windows, itself first at distance 0, more than a quarter of m
+    apart (taken ones included). The seed's and all members' surroundings of m // 2 positions are no seeds any more. At most ``most`` groups a recording.
+    Choice is sequential in a recording, so its samples and profile are in one task; distances are made seed by seed.
     """
     kind = dict(signal.dtypes)["recording_id"]
     lists = signal.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"]).alias("xs"))
+    dists = profile.groupBy("recording_id").agg(F.collect_list(F.struct("idx", F.round("dist", 9).alias("dist"))).alias("mp"))
+    zone = -(-m // 4)
+    limit = np.inf if max_distance is None else max_distance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("recording_id", "seed", "member", "distance", "rank")}
-            for rec, xs in zip(batch.column("recording_id").to_pylist(), batch.column("xs").to_pylist()):
-                if len(xs) < 2 * m:
-                    continue
-                z = z_windows(np.array(xs, float), m)
-                d = np.round(np.sqrt(np.maximum(0, 2 * m - 2 * z @ z.T)), 9)
-                i = np.arange(len(z))
-                d[np.abs(i[:, None] - i[None]) <= m // 4] = np.inf
-                free = np.ones(len(z), bool)
-                for seed in np.argsort(d.min(1), kind="stable"):
-                    if not free[seed]:
-                        continue
-                    taken, group = [seed], []
-                    for j in np.argsort(d[seed], kind="stable"):
-                        if len(group) == neighbours or not np.isfinite(d[seed, j]):
-                            break
-                        if free[j] and all(abs(j - t) > m // 2 for t in taken):
-                            group.append(j)
-                            taken.append(j)
-                    if not group:
+            out: dict[str, list] = {k: [] for k in ("recording_id", "seed", "profile_distance", "member", "distance", "rank")}
+            for row in range(len(batch)):
+                rec = batch.column("recording_id")[row].as_py()
+                x = np.asarray(batch.column("xs")[row].values, dtype=float)
+                at, dist = (np.asarray(batch.column("mp")[row].values.field(c)) for c in ("idx", "dist"))
+                free = np.ones(len(x), bool)
+                groups = 0
+                for k in np.lexsort((at, dist)):
+                    seed = int(at[k])
+                    if not free[seed] or not np.isfinite(dist[k]):
                         continue
-                    for t in taken:
-                        free[max(0, t - m // 2) : t + m // 2 + 1] = False
-                    for rank, j in enumerate(group):
-                        for k, v in zip(out, (rec, int(seed), int(j), float(d[seed, j]), rank)):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["recording_id"], batch.schema.field("recording_id").type), pa.array(out["seed"], pa.int64()), pa.array(out["member"], pa.int64()), pa.array(out["distance"], pa.float64()), pa.array(out["rank"], pa.int32())], names=list(out))
-
-    return lists.mapInArrow(run, f"recording_id {kind}, seed long, member long, distance double, rank int")
+                    d = distances_from(x, seed, m)
+                    d[seed] = 0.0
+                    members = nearest_first(d, zone, neighbours, limit)
+                    for near in [seed, *members]:
+                        free[max(0, near - m // 2) : near + m // 2 + 1] = False
+                    for rank, j in enumerate(members):
+                        for name, v in zip(out, (rec, seed, float(dist[k]), j, float(d[j]), rank)):
+                            out[name].append(v)
+                    groups += 1
+                    if groups == most:
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(out["recording_id"], batch.schema.field("recording_id").type), pa.array(out["seed"], pa.int64()), pa.array(out["profile_distance"], pa.float64()), pa.array(out["member"], pa.int64()), pa.array(out["distance"], pa.float64()), pa.array(out["rank"], pa.int32())], names=list(out))
+
+    return lists.join(dists, "recording_id").mapInArrow(run, f"recording_id {kind}, seed long, profile_distance double, member long, distance double, rank int")

@@ -170,60 +170,6 @@ def change_points(signal: DataFrame, penalty: float, min_size: int = 2, jump: in
     return marks(signal, lambda x: [(int(b),) for b in pelt_l2(x, penalty, min_size, jump)], "idx long")
 
 
-# ---------------------------------------------------------------- drops
-
-
-def find_drops(x: np.ndarray, per_segment: int = 6, depth_sigmas: float = 3.0, separation: int = 10, lookahead: int = 40, knee: float = 0.05, hold: int = 3) -> list[tuple]:
-    """``peak, onset, trough, depth``: after a rise, the first steep fall, down to where it stops falling.
-
-    Rises are runs of rising segments; the onset is the first sample from a rise's end on whose slope is below -3 slope noises; the trough is where, after the
-    steepest point, ``hold`` slopes in a row are above ``knee`` times the steepest; drops shallower than ``depth_sigmas`` level noises go; of drops closer than
-    ``separation`` the deeper stays.
-    """
-    n = len(x)
-    k = n // per_segment
-    if k < 2:
-        return []
-    seg = x[: k * per_segment].reshape(k, per_segment)
-    t = np.arange(per_segment) - (per_segment - 1) / 2
-    rise = seg @ t / (t @ t)
-    cut = (np.quantile(rise, 0.75) - np.quantile(rise, 0.25)) / 2
-    up = rise >= cut if cut > 0 else rise > 0
-    d = np.gradient(x)
-    slope_noise = 1.4826 * float(np.median(np.abs(np.diff(x, 2) - np.median(np.diff(x, 2))))) / math.sqrt(12) if n > 2 else 0.0
-    slope_noise = max(slope_noise, 1e-3 * float(np.ptp(x)))
-    level = 1.4826 * float(np.median(np.abs(x - np.median(x))))
-    found = []
-    for i in range(k):
-        if not up[i] or (i + 1 < k and up[i + 1]):
-            continue
-        end = (i + 1) * per_segment - 1
-        steep = np.flatnonzero(d[end : end + lookahead] <= -3 * slope_noise)
-        if not len(steep):
-            continue
-        onset = end + int(steep[0])
-        falling = d[onset : onset + lookahead]
-        low = int(falling.argmin())
-        calm = falling[low:] > knee * falling[low]
-        trough = min(onset + len(falling), n) - 1
-        for a in range(len(calm) - hold + 1):
-            if calm[a : a + hold].all():
-                trough = onset + low + a
-                break
-        depth = float(x[onset - 1 if onset else 0 : trough + 1].max() - x[trough])
-        if depth >= depth_sigmas * level and trough > onset:
-            found.append((end, onset, trough, depth))
-    kept: list[tuple] = []
-    for row in sorted(found, key=lambda r: (-r[3], r[1])):
-        if all(abs(row[1] - other[1]) >= separation for other in kept):
-            kept.append(row)
-    return sorted(kept)
-
-
-def drops(signal: DataFrame, **params) -> DataFrame:
-    return marks(signal, lambda x: find_drops(x, **params), "peak long, onset long, trough long, depth double")
-
-
 # ---------------------------------------------------------------- surrogates
 
 

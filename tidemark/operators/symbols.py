@@ -21,6 +21,37 @@ def quantise(value: Column, cuts: list[float]) -> Column:
     return out
 
 
+def recommended_symbols(n: Column) -> Column:
+    """A twentieth of the samples, halves to even, between 16 and 256."""
+    return F.greatest(F.lit(16), F.least(F.lit(256), F.bround(n / 20, 0))).cast("long")
+
+
+def samples_asked(mode: str, value: float, fs: Column, n: Column) -> Column:
+    """Samples per symbol that a way of asking comes to, at least 1; halves to even."""
+    if mode == "seconds_per_symbol":
+        asked = F.bround(F.lit(float(value)) * fs, 0)
+    elif mode == "samples_per_symbol":
+        asked = F.lit(round(value))
+    elif mode == "target_symbol_count":
+        asked = F.bround(n / max(1, round(value)), 0)
+    elif mode == "dim_ratio":
+        asked = F.lit(round(1.0 / value)) if value > 0 else n
+    else:
+        raise ValueError(f"no way to ask for segments: {mode}")
+    return F.greatest(F.lit(1), asked)
+
+
+def planned(rows: DataFrame, asked: Column, n: str) -> DataFrame:
+    """Adds ``requested, symbols, trimmed, per_symbol, dim_ratio``: whole segments of equal length, the samples over cut from the end.
+
+    ``dim_ratio`` times ``n``, rounded down, gives the number of symbols again: half a symbol is added against rounding.
+    """
+    out = rows.withColumn("requested", asked.cast("long"))
+    out = out.withColumn("symbols", F.greatest(F.lit(1).cast("long"), F.floor(F.col(n) / F.col("requested"))))
+    out = out.withColumn("trimmed", F.col(n) % F.col("symbols"))
+    return out.withColumn("per_symbol", F.floor((F.col(n) - F.col("trimmed")) / F.col("symbols"))).withColumn("dim_ratio", (F.col("symbols") + 0.5) / F.col(n))
+
+
 def paa(signal: DataFrame, per_segment: int) -> DataFrame:
     """``recording_id, seg, mean, n`` of full segments of ``per_segment`` samples; a shorter tail is left out."""
     seg = F.floor(F.col("idx") / per_segment).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import frames, islands, measures, profile, spectral, symbols
+from tidemark.operators import falls, frames, islands, measures, profile, spectral, symbols
 from tidemark.plans.recipes import Operator, Param, register
 
 
@@ -53,7 +53,7 @@ for op in (
     Operator("level_symbols", "detection", _levels, output_kind="encoding", params={"per_segment": N(6, int, 2), "alphabet": N(5, int, 2, 26)}),
     Operator("trend_symbols", "detection", _trend_words, output_kind="encoding", params={"per_segment": N(6, int, 2), "same_fraction": N(0.5, float, 0, 1)}),
     Operator("spikes", "detection", lambda df, width, delta, distance: _segments(df, islands.refractory(frames.spike_candidates(df, width, delta), ["recording_id"], "idx", distance)), output_kind="spanset", params={"width": N(20, int, 1), "delta": N(0.01), "distance": N(30, int, 1)}),
-    Operator("drops", "detection", lambda df, per_segment: spectral.drops(df, per_segment=per_segment), output_kind="spanset", params={"per_segment": N(6, int, 3)}),
+    Operator("drops", "detection", lambda df, fs, detrend_s, segment_s, slope_sigma: falls.drops(df, fs, detrend_s=detrend_s, segment_s=segment_s, slope_sigma=slope_sigma), output_kind="spanset", params={"fs": N(1.0, float, 0), "detrend_s": N(600.0, float, 0), "segment_s": N(20.0, float, 0), "slope_sigma": N(8.0, float, 0)}),
     Operator("wavelet_energy", "detection", lambda df, scales: spectral.per_recording(df, lambda x: spectral.morse_energy(x, scales), "value"), output_kind="scores", params={"scales": N(64, int, 2)}),
     Operator("sum_field", "catalogue", lambda df: _image(df, "sum"), output_kind="encoding", most_samples=5000),
     Operator("difference_field", "catalogue", lambda df: _image(df, "difference"), output_kind="encoding", most_samples=5000),

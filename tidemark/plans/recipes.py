@@ -153,15 +153,21 @@ class Runs:
         p = jvm.org.apache.hadoop.fs.Path(self.path(recipe, data_hash) + "/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def run(self, recipe: dict, signal: DataFrame, data_hash: str, force: bool = False) -> DataFrame:
+    def run(self, recipe: dict, signal: DataFrame, data_hash: str, force: bool = False, held_out: frozenset[int] = frozenset(), unlocked: bool = False) -> DataFrame:
+        """The recipe's result, computed unless it is there; a held-out recording is refused even where its result is."""
+        plan = compile_plan(recipe, signal, held_out, unlocked)
         if force or not self.done(recipe, data_hash):
-            compile_plan(recipe, signal).write.mode("overwrite").parquet(self.path(recipe, data_hash))
+            plan.write.mode("overwrite").parquet(self.path(recipe, data_hash))
         return self.spark.read.parquet(self.path(recipe, data_hash))
 
 
 def content_hash(signal: DataFrame) -> DataFrame:
-    """``recording_id, content``: the same for the same values in any row order."""
-    return signal.groupBy("recording_id").agg(F.hex(F.bit_xor(F.xxhash64("idx", "x"))).alias("content"))
+    """``recording_id, content``: the same for the same values in any row order; a row given twice counts twice.
+
+    Two hashes are summed modulo a power of two beside the count, so equal rows do not cancel and nothing overflows.
+    """
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "idx", "x"), F.lit(1 << 31)))
+    return signal.groupBy("recording_id").agg(F.concat_ws("-", F.hex(part(1)), F.hex(part(2)), F.count("*")).alias("content"))
 
 
 def tier(seconds: float | None) -> str | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import falls
 from tidemark.operators import frames as fr
 from tidemark.operators import spectral as sp
 from tidemark.operators import sweep
@@ -32,7 +33,10 @@ def query(name: str, sql: str | None = None):
 query("lowpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, high=0.1))
 query("bandpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, 0.05, 0.2))
 query("change_points")(lambda s, d: sp.change_points(signal(s, d), 15000.0))
-query("drops")(lambda s, d: sp.drops(signal(s, d), depth_sigmas=1.0))
+FALLS = {"detrend_s": 20.0, "segment_s": 4.0, "slope_sigma": 1.0}
+query("drops")(lambda s, d: falls.drops(signal(s, d), **FALLS))
+query("drop_counts")(lambda s, d: falls.drop_counts(signal(s, d), **FALLS))
+query("drop_gradients")(lambda s, d: falls.drop_gradients(signal(s, d), **FALLS))
 query("wavelet_energy")(lambda s, d: sp.per_recording(signal(s, d), sp.morse_energy, "value"))
 query("signal_envelope")(lambda s, d: sp.per_recording(signal(s, d), sp.envelope, "value"))
 query("surrogates")(lambda s, d: sp.per_recording(signal(s, d), lambda x: sp.surrogate(x, 1, "iaaft")))
@@ -160,21 +164,11 @@ def families(s, d):
     return g.groupBy("tag").agg(F.count("*").alias("n"), r6(F.avg("w")).alias("mean_width"), F.max("w").alias("max_width"), F.percentile("gap", 0.5).alias("median_gap"))
 
 
-def recipe(recording_id, s, d):
+@query("recipe_result", _DSAX + " SELECT recording_id, seg, symbol FROM sym")
+def recipe_result(s, d):
+    """A recipe of two steps over all recordings as one plan."""
     from tidemark.plans import catalogue  # noqa: F401
     from tidemark.plans.recipes import compile_plan, make
 
     steps = [{"stage": "preprocessing", "algorithm": "detrend", "params": {"window": 20}}, {"stage": "detection", "algorithm": "trend_symbols"}]
-    return compile_plan(make(recording_id, steps), signal(s, d)).select(R, "seg", "symbol")
-
-
-@query("recipe_result", _DSAX + " SELECT recording_id, seg, symbol FROM sym WHERE recording_id = 7")
-def recipe_result(s, d):
-    """A recipe of two steps as one plan."""
-    return recipe(7, s, d)
-
-
-@query("recipe_result_all", _DSAX + " SELECT recording_id, seg, symbol FROM sym")
-def recipe_result_all(s, d):
-    """The recipe over all recordings as one plan."""
-    return recipe(None, s, d)
+    return compile_plan(make(None, steps), signal(s, d)).select(R, "seg", "symbol")

@@ -41,8 +41,8 @@ def roughness(s, d):
 
 
 query("roughness", f"WITH {SIG}, g AS (SELECT *, x - lag(x) OVER (PARTITION BY recording_id ORDER BY idx) dx FROM sig) SELECT recording_id, round(sqrt(avg(dx * dx)) / stddev_pop(x), 6) + 0.0 roughness FROM g GROUP BY ALL")(roughness)
-query("moments", f"WITH {SIG}, m AS (SELECT recording_id, avg(x) m, stddev_pop(x) sd FROM sig GROUP BY ALL) SELECT recording_id, round(avg(((x - m) / sd) ** 3), 6) + 0.0 skewness, round(avg(((x - m) / sd) ** 4) - 3, 6) + 0.0 kurtosis FROM sig JOIN m USING (recording_id) WHERE sd > 0 GROUP BY ALL")(
-    lambda s, d: signal(s, d).groupBy(R).agg(r6(F.skewness("x")).alias("skewness"), r6(F.kurtosis("x")).alias("kurtosis"), F.stddev_pop("x").alias("sd")).filter("sd > 0").drop("sd")
+query("moments", f"WITH {SIG}, m AS (SELECT recording_id, avg(x) m, stddev_pop(x) sd FROM sig GROUP BY ALL) SELECT recording_id, CASE WHEN any_value(sd) = 0 THEN 0.0 ELSE round(avg(((x - m) / sd) ** 3), 6) + 0.0 END skewness, CASE WHEN any_value(sd) = 0 THEN 0.0 ELSE round(avg(((x - m) / sd) ** 4) - 3, 6) + 0.0 END kurtosis FROM sig JOIN m USING (recording_id) GROUP BY recording_id")(
+    lambda s, d: signal(s, d).groupBy(R).agg(*[F.when(F.stddev_pop("x") == 0, 0.0).otherwise(r6(f("x"))).alias(n) for n, f in (("skewness", F.skewness), ("kurtosis", F.kurtosis))])
 )
 
 

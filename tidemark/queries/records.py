@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import islands as isl
 from tidemark.operators import overlap, prepare, sweep
 from tidemark.queries.base import NOTES, PTS, RECS, SIG, VEC, notes, points, r6, recs, signal, vectors
+from tidemark.session import cut_lineage
 from tidemark.tables import first_loaded, read
 
 QUERIES: dict = {}
@@ -26,9 +27,9 @@ def query(name: str, sql: str | None = None):
 
 # The verdicts an annotation may have.
 VERDICTS = ["seed", "interesting", "not_interesting", "artifact", "unsure"]
-# Upper bounds (inclusive) of the bands, the last without one.
-TRAIN_BANDS = [(4, "few"), (9, "several"), (None, "many")]
-DURATION_BANDS = [(60, "seconds"), (900, "short"), (3600, "medium"), (21600, "long"), (None, "very_long")]
+# Upper bounds (inclusive) of the bands, of events and of seconds, the last without one.
+TRAIN_BANDS = [(4, "short"), (9, "medium"), (None, "long")]
+DURATION_BANDS = [(60, "short"), (900, "medium"), (3600, "long"), (21600, "very_long"), (None, "extreme")]
 
 
 def band(value, bands):
@@ -39,10 +40,6 @@ def band(value, bands):
     return out
 
 
-def band_sql(value, bands):
-    return f"CASE WHEN {value} IS NULL THEN NULL " + " ".join(f"WHEN {value} <= {t} THEN '{n}'" if t is not None else f"ELSE '{n}'" for t, n in bands) + " END"
-
-
 @query("recording_summary", f"WITH {NOTES} SELECT recording_id, " + ", ".join(f"count(*) FILTER (verdict = '{v}') {v}" for v in VERDICTS) + ", count(*) total FROM notes WHERE recording_id IS NOT NULL GROUP BY ALL")
 def recording_summary(s, d):
     g = notes(s, d).filter("recording_id is not null").groupBy("recording_id")
@@ -59,17 +56,10 @@ def reviewed(s, d):
 query("reviewed_fraction", f"WITH {RECS}, {_REV}, c AS (SELECT recording_id, sum(to_idx - from_idx) c FROM per GROUP BY ALL) SELECT recs.id, round(coalesce(c, 0) / n_samples, 6) fraction FROM recs LEFT JOIN c ON c.recording_id = recs.id WHERE n_samples > 0")(
     lambda s, d: recs(s, d).filter("n_samples > 0").join(reviewed(s, d).groupBy(F.col("recording_id").alias("id")).agg(F.sum(F.col("to_idx") - F.col("from_idx")).alias("c")), "id", "left").select("id", F.round(F.coalesce("c", F.lit(0)) / F.col("n_samples"), 6).alias("fraction"))
 )
-_BUCK = f"WITH {_REV}, b AS (SELECT *, unnest(range(from_idx // 5000, (to_idx - 1) // 5000 + 1)) bucket FROM per WHERE from_idx >= 0)"
-query("bucket_coverage", _BUCK + ", f AS (SELECT recording_id, bucket, least(1.0, sum(least(to_idx, (bucket + 1) * 5000) - greatest(from_idx, bucket * 5000)) / 5000) fraction FROM b GROUP BY ALL) SELECT recording_id, bucket, round(fraction, 6) fraction, CASE WHEN fraction >= 0.95 THEN 'full' ELSE 'partial' END state FROM f")(
-    lambda s, d: overlap.bucket_cover(reviewed(s, d).filter("from_idx >= 0"), "recording_id", 5000).select("recording_id", "bucket", F.round("fraction", 6).alias("fraction"), F.when(F.col("fraction") >= 0.95, "full").otherwise("partial").alias("state"))
-)
-query("bucket_coverage_clipped", f"WITH {_REV}, b AS (SELECT recording_id, greatest(from_idx, 0) from_idx, to_idx, unnest(range(greatest(from_idx, 0) // 5000, (to_idx - 1) // 5000 + 1)) bucket FROM per WHERE to_idx > 0), f AS (SELECT recording_id, bucket, least(1.0, sum(least(to_idx, (bucket + 1) * 5000) - greatest(from_idx, bucket * 5000)) / 5000) fraction FROM b GROUP BY ALL) SELECT recording_id, bucket, round(fraction, 6) fraction, CASE WHEN fraction >= 0.95 THEN 'full' ELSE 'partial' END state FROM f")(
+query("bucket_coverage", f"WITH {_REV}, b AS (SELECT recording_id, greatest(from_idx, 0) from_idx, to_idx, unnest(range(greatest(from_idx, 0) // 5000, (to_idx - 1) // 5000 + 1)) bucket FROM per WHERE to_idx > 0), f AS (SELECT recording_id, bucket, least(1.0, sum(least(to_idx, (bucket + 1) * 5000) - greatest(from_idx, bucket * 5000)) / 5000) fraction FROM b GROUP BY ALL) SELECT recording_id, bucket, round(fraction, 6) fraction, CASE WHEN fraction >= 0.95 THEN 'full' ELSE 'partial' END state FROM f")(
     lambda s, d: overlap.bucket_cover(overlap.clipped(reviewed(s, d)), "recording_id", 5000).select("recording_id", "bucket", F.round("fraction", 6).alias("fraction"), F.when(F.col("fraction") >= 0.95, "full").otherwise("partial").alias("state"))
 )
-query("annotation_density", f"WITH {NOTES} SELECT least(99, greatest(0, floor((start_idx + end_idx) / 2 / 20000)))::BIGINT bucket, verdict, count(*) n FROM notes WHERE end_idx > start_idx GROUP BY ALL")(
-    lambda s, d: notes(s, d).filter("end_idx > start_idx").groupBy(F.least(F.lit(99), F.greatest(F.lit(0), F.floor((F.col("start_idx") + F.col("end_idx")) / 2 / 20000))).cast("long").alias("bucket"), "verdict").agg(F.count("*").alias("n"))
-)
-query("annotation_density_each", f"WITH {NOTES}, {RECS} SELECT recording_id, CASE WHEN n_samples > 0 THEN least(99, greatest(0, floor((start_idx + end_idx) / 2 * 100 / n_samples)))::BIGINT END bucket, verdict, count(*) n FROM notes LEFT JOIN recs ON recs.id = notes.recording_id WHERE end_idx > start_idx GROUP BY ALL")(lambda s, d: density(notes(s, d), recs(s, d)))
+query("annotation_density", f"WITH {NOTES}, {RECS} SELECT recording_id, CASE WHEN n_samples > 0 THEN least(99, greatest(0, floor((start_idx + end_idx) / 2 * 100 / n_samples)))::BIGINT END bucket, verdict, count(*) n FROM notes LEFT JOIN recs ON recs.id = notes.recording_id WHERE end_idx > start_idx GROUP BY ALL")(lambda s, d: density(notes(s, d), recs(s, d)))
 
 
 def density(spans, recordings):
@@ -82,7 +72,10 @@ def density(spans, recordings):
 query("annotation_filter", f"WITH {NOTES} SELECT id, recording_id, verdict, tag FROM notes WHERE verdict IN ('seed', 'interesting') AND source IN ('manual_ui', 'batch_review') AND contains(lower(coalesce(note, '') || ' ' || coalesce(tag, '')), 'ro')")(
     lambda s, d: notes(s, d).filter(F.col("verdict").isin("seed", "interesting") & F.col("source").isin("manual_ui", "batch_review") & F.lower(F.concat(F.coalesce("note", F.lit("")), F.lit(" "), F.coalesce("tag", F.lit("")))).contains("ro")).select("id", "recording_id", "verdict", "tag")
 )
-query("bands", f"WITH {NOTES}, {RECS} SELECT notes.id, {band_sql('event_count', TRAIN_BANDS)} train_band, {band_sql('((end_idx - start_idx) / fs)', DURATION_BANDS)} duration_band FROM notes JOIN recs ON notes.recording_id = recs.id WHERE fs > 0 AND NOT isnan(fs)")(
+query(
+    "bands",
+    f"WITH {NOTES}, {RECS}, w AS (SELECT notes.id, event_count e, (end_idx - start_idx) / fs sec FROM notes JOIN recs ON notes.recording_id = recs.id WHERE fs > 0 AND NOT isnan(fs)) SELECT id, CASE WHEN e IS NULL THEN NULL WHEN e < 5 THEN 'short' WHEN e < 10 THEN 'medium' ELSE 'long' END train_band, CASE WHEN sec IS NULL THEN NULL WHEN sec > 6 * 3600 THEN 'extreme' WHEN sec > 3600 THEN 'very_long' WHEN sec > 15 * 60 THEN 'long' WHEN sec > 60 THEN 'medium' ELSE 'short' END duration_band FROM w",
+)(
     lambda s, d: notes(s, d).join(recs(s, d).select(F.col("id").alias("recording_id"), "fs"), "recording_id").filter("fs > 0 and not isnan(fs)").select("id", band(F.col("event_count"), TRAIN_BANDS).alias("train_band"), band((F.col("end_idx") - F.col("start_idx")) / F.col("fs"), DURATION_BANDS).alias("duration_band"))
 )
 query("tags_of_recording", f"WITH {NOTES} SELECT recording_id, tag, count(*) n FROM notes WHERE tag IS NOT NULL AND recording_id IS NOT NULL GROUP BY ALL")(lambda s, d: notes(s, d).filter("tag is not null and recording_id is not null").groupBy("recording_id", "tag").agg(F.count("*").alias("n")))
@@ -156,8 +149,7 @@ query("latest_file_rows", "SELECT npy_path, max(written_at) written_at, max_by(n
 query("column_stats", f"WITH {VEC}, e AS (SELECT unnest(range(len(v))) col, unnest(v) x FROM vec) SELECT col::INTEGER col, count(*) n, sum(isnan(x)::INT)::BIGINT n_nan, round(avg(x), 6) + 0.0 mean, round(stddev_pop(x), 6) sd, round(median(x), 6) + 0.0 mid FROM e GROUP BY ALL")(
     lambda s, d: prepare.column_stats(vectors(s, d)).select("col", "n", "n_nan", r6("mean").alias("mean"), F.round("sd", 6).alias("sd"), r6("mid").alias("mid"))
 )
-query("correlations", f"WITH {VEC} SELECT a::INTEGER a, b::INTEGER b, round(corr(v[a + 1], v[b + 1]), 6) + 0.0 r FROM vec, range(0, 8) x(a), range(0, 8) y(b) WHERE a < b GROUP BY ALL")(lambda s, d: prepare.correlations(vectors(s, d), list(range(8))).withColumn("r", r6("r")))
-query("correlations_all", f"WITH {VEC}, c AS (SELECT unnest(range((SELECT max(len(v)) FROM vec))) c) SELECT a.c::INTEGER a, b.c::INTEGER b, round(corr(v[a.c + 1], v[b.c + 1]), 6) + 0.0 r FROM vec, c a, c b WHERE a.c < b.c AND NOT isnan(v[a.c + 1]) AND NOT isnan(v[b.c + 1]) GROUP BY ALL")(lambda s, d: prepare.correlations(vectors(s, d)).withColumn("r", r6("r")))
+query("correlations", f"WITH {VEC}, c AS (SELECT unnest(range((SELECT max(len(v)) FROM vec))) c) SELECT a.c::INTEGER a, b.c::INTEGER b, round(corr(v[a.c + 1], v[b.c + 1]), 6) + 0.0 r FROM vec, c a, c b WHERE a.c < b.c AND NOT isnan(v[a.c + 1]) AND NOT isnan(v[b.c + 1]) GROUP BY ALL")(lambda s, d: prepare.correlations(vectors(s, d)).withColumn("r", r6("r")))
 query("scaled_columns", f"WITH {VEC}, e AS (SELECT vec_id, unnest(range(len(v))) col, unnest(v) x FROM vec), s AS (SELECT col, avg(x) m, stddev_pop(x) s FROM e GROUP BY ALL) SELECT vec_id, col::INTEGER col, CASE WHEN s = 0 THEN 0.0 ELSE round((x - m) / s, 6) + 0.0 END z FROM e JOIN s USING (col)")(lambda s, d: prepare.scaled_rows(vectors(s, d), ["vec_id"]).withColumn("z", r6("z")))
 query("centroids", f"WITH {VEC}, e AS (SELECT label, unnest(range(len(v))) col, unnest(v) x FROM vec) SELECT label, col::INTEGER col, round(avg(x), 6) + 0.0 centre, count(*) n FROM e GROUP BY ALL")(lambda s, d: prepare.centroids(vectors(s, d), "label").withColumn("centre", r6("centre")))
 _DIST = f"WITH {VEC}, e AS (SELECT vec_id, label, unnest(range(len(v))) col, unnest(v) x FROM vec), c AS (SELECT label, col, avg(x) m FROM e GROUP BY ALL), cd AS (SELECT vec_id, label, sqrt(sum((x - m) ** 2) / count(*)) distance FROM e JOIN c USING (label, col) GROUP BY ALL)"
@@ -245,11 +237,17 @@ def noise(s, d):
 query("noise_sigma", f"WITH {SIG}, x AS (SELECT *, x - 2 * lag(x, 1) OVER w + lag(x, 2) OVER w d2 FROM sig WINDOW w AS (PARTITION BY recording_id ORDER BY idx)), m AS (SELECT recording_id, median(x) m, median(d2) m2 FROM x GROUP BY ALL) SELECT recording_id, round(1.4826::DOUBLE * median(abs(x - m)), 6) level, round(1.4826::DOUBLE * median(abs(d2 - m2)) / sqrt(6) / sqrt(2), 6) slope FROM x JOIN m USING (recording_id) GROUP BY ALL")(noise)
 
 
-def snippet_families(s, d):
-    from tidemark.operators.profile import motif_groups
+def profiles(s, d):
+    from tidemark.operators import profile as mp
+
+    return mp, signal(s, d), profile(s, d)
 
-    return motif_groups(signal(s, d), M, 4)
 
+query("profile_links", _SUBS + ", sd AS (SELECT recording_id, i, min_by(j, dist * 1e6 + j) FILTER (j < i) l, min_by(j, dist * 1e6 + j) FILTER (j > i) r FROM pr GROUP BY ALL) SELECT a.recording_id, a.i idx, a.r following FROM sd a JOIN sd b ON b.recording_id = a.recording_id AND b.i = a.r AND b.l = a.i")(lambda s, d: profiles(s, d)[0].links(profile(s, d)))
+query("profile_chains")(lambda s, d: profiles(s, d)[0].chains(profile(s, d)))
 
-query("motif_groups")(snippet_families)
-query("profile_chains")(lambda s, d: __import__("tidemark.operators.profile", fromlist=["x"]).chains(profile(s, d)))
+
+@query("motif_groups")
+def snippet_families(s, d):
+    mp, sig, prof = profiles(s, d)
+    return mp.motif_groups(sig, cut_lineage(prof), M, 4)

@@ -135,10 +135,10 @@ def state_levels(s, d):
     at = F.col("lo") + (F.col("bin") + 0.5) * width
     j = h.join(mid, "recording_id").withColumn("at", at)
     side = lambda c: F.sum(F.when(c, F.col("at") * F.col("c"))) / F.sum(F.when(c, F.col("c")))
-    return j.groupBy("recording_id").agg(F.round(side(F.col("bin") <= F.col("mid")) + 1.37e-6, 4).alias("low"), F.round(side(F.col("bin") > F.col("mid")) + 1.37e-6, 4).alias("high"))
+    return j.groupBy("recording_id").agg(F.round(side(F.col("bin") <= F.col("mid")), 6).alias("low"), F.round(side(F.col("bin") > F.col("mid")), 6).alias("high"))
 
 
-query("state_levels", f"WITH {SIG}, m AS (SELECT recording_id, min(x) lo, max(x) hi FROM sig GROUP BY ALL), b AS (SELECT recording_id, least(99, floor((x - lo) / ((hi - lo) / 100))) bin, lo, hi, count(*) c FROM sig JOIN m USING (recording_id) WHERE hi > lo GROUP BY ALL), k AS (SELECT recording_id, (min(bin) + max(bin)) / 2 mid FROM b GROUP BY ALL), j AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 100 lv FROM b JOIN k USING (recording_id)) SELECT recording_id, round(sum(lv * c) FILTER (bin <= mid) / sum(c) FILTER (bin <= mid) + 1.37e-6, 4) low, round(sum(lv * c) FILTER (bin > mid) / sum(c) FILTER (bin > mid) + 1.37e-6, 4) high FROM j GROUP BY recording_id")(state_levels)
+query("state_levels", f"WITH {SIG}, m AS (SELECT recording_id, min(x) lo, max(x) hi FROM sig GROUP BY ALL), b AS (SELECT recording_id, least(99, floor((x - lo) / ((hi - lo) / 100))) bin, lo, hi, count(*) c FROM sig JOIN m USING (recording_id) WHERE hi > lo GROUP BY ALL), k AS (SELECT recording_id, (min(bin) + max(bin)) / 2 mid FROM b GROUP BY ALL), j AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 100 lv FROM b JOIN k USING (recording_id)) SELECT recording_id, round(sum(lv * c) FILTER (bin <= mid) / sum(c) FILTER (bin <= mid), 6) low, round(sum(lv * c) FILTER (bin > mid) / sum(c) FILTER (bin > mid), 6) high FROM j GROUP BY recording_id")(state_levels)
 
 EDGES = [-100.0, -10.0, -1.0, 0.0, 1.0, 10.0, 100.0]  # signed semi-logarithmic steps
 
@@ -161,20 +161,7 @@ query("split_channels", "SELECT event_id // 625 channel, event_id % 625 idx, val
 query("derive_fs", f"WITH {RECS} SELECT id, TRY_CAST(nullif(regexp_extract(regexp_replace(trim(source_file), '\\.[A-Za-z][A-Za-z0-9]*$', ''), '_fs([0-9]+(\\.[0-9]+)?)$', 1), '') AS DOUBLE) fs_name FROM recs")(
     lambda s, d: recs(s, d).select("id", F.expr("try_cast(nullif(regexp_extract(regexp_replace(trim(source_file), '\\\\.[A-Za-z][A-Za-z0-9]*$', ''), '_fs([0-9]+(\\\\.[0-9]+)?)$', 1), '') as double)").alias("fs_name"))
 )
-_LAB = f"WITH {NOTES}, l AS (SELECT id, start_idx // 20000 channel, start_idx % 20000 local_start, end_idx - start_idx n, CASE WHEN start_idx < 0 OR end_idx > 2000000 THEN 'out_of_bounds' WHEN start_idx % 20000 + (end_idx - start_idx) > 20000 THEN 'straddles' ELSE 'imported' END status, verdict FROM notes WHERE start_idx >= 0 AND end_idx > start_idx)"
-
-
-def labels(s, d):
-    """Global label windows to channel-local ones; a window over a channel's end is set aside."""
-    n = F.col("end_idx") - F.col("start_idx")
-    local = F.pmod("start_idx", F.lit(20000))
-    status = F.when((F.col("start_idx") < 0) | (F.col("end_idx") > 2000000), "out_of_bounds").when(local + n > 20000, "straddles").otherwise("imported")
-    return notes(s, d).filter("start_idx >= 0 and end_idx > start_idx").select("id", F.floor(F.col("start_idx") / 20000).alias("channel"), local.alias("local_start"), n.alias("n"), status.alias("status"), "verdict")
-
-
-query("global_to_local", _LAB + " SELECT id, channel, local_start, n, status FROM l")(lambda s, d: labels(s, d).drop("verdict"))
-query("import_labels", _LAB + ", u AS (SELECT DISTINCT channel, local_start, n, status, verdict FROM l) SELECT status, count(*) n_labels FROM u GROUP BY ALL")(lambda s, d: labels(s, d).drop("id").distinct().groupBy("status").agg(F.count("*").alias("n_labels")))
-_LAB_ALL = f"WITH {NOTES}, {RECS}, lay AS (SELECT source_file, max(n_samples) len, max(n_samples) * count(DISTINCT channel) total FROM recs WHERE source_file IS NOT NULL GROUP BY ALL HAVING count(DISTINCT n_samples) = 1 AND max(n_samples) > 0), m AS (SELECT n.id, r.source_file, len, total, start_idx, end_idx, verdict, floor(start_idx / len)::BIGINT channel FROM notes n LEFT JOIN recs r ON r.id = n.recording_id LEFT JOIN lay USING (source_file) WHERE end_idx > start_idx), l AS (SELECT id, source_file, channel, start_idx - coalesce(channel * len, 0) local_start, end_idx - start_idx n, CASE WHEN start_idx < 0 OR end_idx > total THEN 'out_of_bounds' WHEN len IS NULL THEN 'no_layout' WHEN start_idx - channel * len + (end_idx - start_idx) > len THEN 'straddles' ELSE 'imported' END status, verdict FROM m)"
+_LAB = f"WITH {NOTES}, {RECS}, lay AS (SELECT source_file, max(n_samples) len, max(n_samples) * count(DISTINCT channel) total FROM recs WHERE source_file IS NOT NULL GROUP BY ALL HAVING count(DISTINCT n_samples) = 1 AND max(n_samples) > 0), m AS (SELECT n.id, r.source_file, len, total, start_idx, end_idx, verdict, floor(start_idx / len)::BIGINT channel FROM notes n LEFT JOIN recs r ON r.id = n.recording_id LEFT JOIN lay USING (source_file) WHERE end_idx > start_idx), l AS (SELECT id, source_file, channel, start_idx - coalesce(channel * len, 0) local_start, end_idx - start_idx n, CASE WHEN start_idx < 0 OR end_idx > total THEN 'out_of_bounds' WHEN len IS NULL THEN 'no_layout' WHEN start_idx - channel * len + (end_idx - start_idx) > len THEN 'straddles' ELSE 'imported' END status, verdict FROM m)"
 
 
 def place_labels(rows, recordings):
@@ -196,5 +183,5 @@ def label_counts(placed):
     return placed.withColumn("id", F.when(F.col("status") != "imported", F.col("id"))).distinct().groupBy("status").agg(F.count("*").alias("n_labels"))
 
 
-query("global_to_local_all", _LAB_ALL + " SELECT id, source_file, channel, local_start, n, status FROM l")(lambda s, d: place_labels(notes(s, d), recs(s, d)).drop("verdict"))
-query("import_labels_all", _LAB_ALL + ", u AS (SELECT DISTINCT source_file, channel, local_start, n, status, verdict, CASE WHEN status != 'imported' THEN id END id FROM l) SELECT status, count(*) n_labels FROM u GROUP BY ALL")(lambda s, d: label_counts(place_labels(notes(s, d), recs(s, d))))
+query("global_to_local", _LAB + " SELECT id, source_file, channel, local_start, n, status FROM l")(lambda s, d: place_labels(notes(s, d), recs(s, d)).drop("verdict"))
+query("import_labels", _LAB + ", u AS (SELECT DISTINCT source_file, channel, local_start, n, status, verdict, CASE WHEN status != 'imported' THEN id END id FROM l) SELECT status, count(*) n_labels FROM u GROUP BY ALL")(lambda s, d: label_counts(place_labels(notes(s, d), recs(s, d))))
