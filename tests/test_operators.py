@@ -501,6 +501,10 @@ def test_streams(spark, tmp_path):
     assert [r.kind for r in keeper.state.faults().collect()] == ["missing"]
     keeper.batch(spark.createDataFrame([(False, None, None, "k", "a", None, t0, None, False)], cols), 1)
     assert keeper.state.faults().count() == 0
+    again = live.OrphanStream(spark, keeper.state.folder)  # a stream that starts again sends its last batch once more
+    again.batch(spark.createDataFrame([(False, None, None, "k", "a", None, t0, None, False)], cols), 1)
+    again.batch(spark.createDataFrame([(True, "t", 2, "k", "b", t0, None, None, None)], cols), 2)
+    assert [(r.row_id, r.kind) for r in again.state.faults().collect()] == [(2, "missing")]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

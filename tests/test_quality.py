@@ -119,7 +119,7 @@ def parents_df(spark, items):
 
 
 def test_kinds_and_state_changes(spark, rows):
-    state = ref.Orphans.empty(spark)
+    state = ref.Orphans(spark)
     state = state.advance(refs_df(spark, [("t", 1, "k", "a", day(1)), ("t", 2, "k", "b", day(1))]), parents_df(spark, [("k", "b", day(0), None, False)]))
     assert rows(state.faults()) == [("t", 1, "missing", day(1))]
     state = state.advance(refs_df(spark, []), parents_df(spark, [("k", "a", day(2), None, False), ("k", "b", day(3), day(3), True)]))
@@ -139,8 +139,50 @@ def test_batches_do_not_matter(spark, rows):
     assert rows(whole.snapshot()) == rows(steps.snapshot())
 
 
+def test_moved_and_repeated_references(spark, rows):
+    none = parents_df(spark, [])
+    state = ref.Orphans(spark).advance(refs_df(spark, [("t", 1, "k", "a", day(5)), ("t", 1, "k", "a", day(6))]), parents_df(spark, [("k", "b", day(0), None, False)]))
+    state.advance(refs_df(spark, [("t", 1, "k", "a", day(9))]), none)  # delivered again: nothing changes
+    assert state.table("refs").count() == 1
+    state.advance(refs_df(spark, [("t", 1, "k", "b", day(3))]), none)  # an earlier row names another key
+    assert rows(state.faults()) == [] and state.snapshot().count() == 0
+    state.advance(refs_df(spark, []), parents_df(spark, [("k", "a", day(9), None, False)]))  # the old key waits no more
+    assert rows(state.faults()) == []
+    state.advance(refs_df(spark, []), parents_df(spark, [("k", "b", day(9), day(9), True)]))
+    assert rows(state.faults()) == [("t", 1, "deleted", day(3))]
+    assert [r.n for r in state.snapshots().orderBy("batch").collect()] == [1, 1, 1]
+    whole = ref.Orphans(spark).advance(refs_df(spark, [("t", 1, "k", "a", day(5)), ("t", 1, "k", "b", day(3))]), parents_df(spark, [("k", "b", day(0), None, False), ("k", "b", day(9), day(9), True), ("k", "a", day(9), None, False)]))
+    assert rows(whole.faults()) == rows(state.faults())
+
+
+def test_a_batch_appends_only_what_it_touches(spark):
+    refs = [("t", i, "k", str(i % 50), day(2)) for i in range(500)]
+    state = ref.Orphans(spark).advance(refs_df(spark, refs), parents_df(spark, [("k", str(i), day(1), None, False) for i in range(25)]))
+    before = state.table("refs").count()
+    state.advance(refs_df(spark, [("t", 900, "k", "3", day(4))]), parents_df(spark, [("k", "30", day(3), None, False)]))
+    assert before == 500 and state.table("refs", [1]).count() == 11  # ten wait for 30, one is new
+    assert state.faults().count() == 250 and {(r.kind, r.n) for r in state.snapshot().collect()} == {("missing", 240), ("late", 10)}
+
+
+def test_state_survives_a_restart(spark, rows, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/state"
+    refs = [refs_df(spark, [("t", k, "k", "a", day(k + 1))]) for k in range(3)]
+    none = parents_df(spark, [])
+    state = ref.Orphans(spark, folder).advance(refs[0], none, 0)
+    with monkeypatch.context() as m:  # lost between the tables of a batch
+        m.setattr(ref.Orphans, "_count", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            state.advance(refs[1], none, 1)
+    again = ref.Orphans(spark, folder)
+    assert again.batches() == [0] and again.faults().count() == 1
+    again.advance(refs[1], none, 1).advance(refs[1], none, 1)  # sent twice
+    again.advance(refs[2], parents_df(spark, [("k", "a", day(2), None, False)]), 2)
+    assert again.batches() == [0, 1, 2] and rows(ref.Orphans(spark, folder).faults().select("row_id", "kind")) == [(0, "late")]
+    assert [tuple(r) for r in again.snapshot(1).select("kind", "n").collect()] == [("missing", 2)]
+
+
 def test_empty_state_and_boundaries(spark):
-    assert ref.Orphans.empty(spark).faults().count() == 0
+    assert ref.Orphans(spark).faults().count() == 0
     assert ref.even_boundaries(refs_df(spark, []), 3) == []
     assert len(ref.even_boundaries(refs_df(spark, [("t", 1, "k", "a", day(1)), ("t", 2, "k", "a", day(9))]), 3)) == 2
 

@@ -1,73 +1,143 @@
 """References to records that do not exist, kept up to date batch by batch.
 
-State is three tables: an index of parents (when first seen, whether removed), the references that have been seen,
-and the kind of fault each reference now has. A batch may bring new references, new or changed parents, or both, in any order:
+State is a folder of three append-only tables, each batch a part of its own: what is known of parents, what is known of references with the
+fault each one has, and changes of the fault counts. A batch may bring new references, new or changed parents, or both, in any order:
 
 * a new reference probes the parent index: it is ``missing`` if there is none, ``deleted`` if the parent is removed,
   ``late`` if the parent was first seen after it;
 * an arriving parent resolves the references waiting for it (they become ``late``, or no fault);
 * a removal reopens references that were resolved.
 
-Only references whose parent changed are judged again. Result and state do not depend on how rows are batched.
+Of earlier batches only rows whose key the new batch touches are taken up, judged and appended again where something about them changed; earlier parts are read
+but never moved or rewritten. Counts are kept as differences, so a snapshot of any batch is a sum of few rows. Result and state do not depend on how rows are batched.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.salting import salted_join
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared_folder
 from tidemark.tables import clean_path, first_loaded
 
 REF = "ref_table string, row_id long, parent_kind string, parent_key string, ref_at timestamp"
 PARENT = "parent_kind string, parent_key string, first_at timestamp, version timestamp, removed boolean"
+TABLES = {
+    "parents": PARENT,
+    "refs": REF + ", fault string, live boolean, was string, was_at timestamp",
+    "counts": "ref_table string, month string, kind string, n long",
+}
+ID, KEY = ["ref_table", "row_id"], ["parent_kind", "parent_key"]
 
 
-@dataclass(frozen=True)
 class Orphans:
-    """``parents``: PARENT, one row a key. ``refs``: REF and ``fault`` (null if the parent is there)."""
+    """The state in ``folder``, which all executors must share; an existing folder is taken up where its last whole batch left it."""
 
-    parents: DataFrame
-    refs: DataFrame
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.folder = (folder or f"{shared_folder(spark)}/orphans-{uuid4().hex}").rstrip("/")
 
-    @staticmethod
-    def empty(spark) -> Orphans:
-        return Orphans(spark.createDataFrame([], PARENT), spark.createDataFrame([], REF + ", fault string"))
+    # ------------------------------------------------------------ files
 
-    def advance(self, refs: DataFrame, parents: DataFrame, durable: bool = True) -> Orphans:
-        """The state after one more batch. ``refs``: REF columns, keys not null; ``parents``: PARENT columns.
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-        A reference seen before keeps its earliest time; of a parent, the earliest ``first_at`` and the ``removed``
-        of the latest ``version`` hold (a null version is older than any other; at a tie, removal wins).
+    def batches(self) -> list[int]:
+        """Numbers of the batches that were written whole."""
+        fs, path = self._path("whole")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def table(self, name: str, batches: list[int] | None = None) -> DataFrame:
+        """Rows of a state table and their ``batch``; of whole batches only."""
+        batches = self.batches() if batches is None else batches
+        parts = [f"{self.folder}/{name}/batch={k}" for k in batches]
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name] + ", batch long")
+        return self.spark.read.schema(TABLES[name] + ", batch long").option("basePath", f"{self.folder}/{name}").parquet(*parts)
+
+    def _write(self, name: str, batch: int, rows: DataFrame) -> DataFrame:
+        rows.select(*columns(TABLES[name])).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+        return self.table(name, [batch])
+
+    # ------------------------------------------------------------ batches
+
+    def advance(self, refs: DataFrame, parents: DataFrame, batch: int | None = None) -> Orphans:
+        """Takes in one more batch. ``refs``: REF columns, keys not null; ``parents``: PARENT columns.
+
+        A reference seen before keeps its earliest time and that row's key; of a parent, the earliest ``first_at`` and the ``removed`` of the latest
+        ``version`` hold (a null version is older than any other; at a tie, removal wins). A ``batch`` that was taken in before is passed over, one that was
+        broken off is written anew, so batches that are sent again after a restart count once.
         """
-        merged = index_parents(
-            self.parents.select(*columns(PARENT), F.lit(False).alias("changed")).unionByName(parents.select(*columns(PARENT), F.lit(True).alias("changed")))
-        )
-        seen = self.refs.select(*columns(REF), "fault", F.lit(False).alias("fresh")).unionByName(refs.select(*columns(REF), F.lit(None).cast("string").alias("fault"), F.lit(True).alias("fresh")))
-        each = (
-            seen.groupBy("ref_table", "row_id")
-            .agg(F.min(F.struct("ref_at", "parent_kind", "parent_key")).alias("r"), F.max("fault").alias("fault"), F.max("fresh").alias("fresh"))
-            .select("ref_table", "row_id", "r.*", "fault", "fresh")
-        )
-        if durable:
-            merged = cut_lineage(merged)
+        whole = self.batches()
+        number = (whole[-1] + 1 if whole else 0) if batch is None else batch
+        if number in whole:
+            return self
+        known = self._write("parents", number, index_parents(parents))
+        judged = self._judged(refs, known, whole)
+        self._count(self._write("refs", number, judged), number)
+        fs, mark = self._path(f"whole/{number}")
+        fs.create(mark, True).close()
+        return self
+
+    def _judged(self, refs: DataFrame, arrived: DataFrame, whole: list[int]) -> DataFrame:
+        """Rows of the state table of references: those of the batch and those that it touches, where anything changed."""
+        none = lambda t: F.lit(None).cast(t)
+        rows = refs.select(*columns(REF), none("long").alias("batch"), none("boolean").alias("live"), none("string").alias("fault"))
+        if whole:
+            seen = self.table("refs", whole).select(*columns(REF), "batch", "live", "fault")
+            again = seen.join(refs.select(*ID).distinct(), ID, "left_semi")
+            waiting = seen.join(arrived.select(*KEY), KEY, "left_semi")
+            rows = rows.unionByName(again.select(rows.columns)).unionByName(waiting.select(rows.columns))
+        old = F.max(F.when(F.col("batch").isNotNull(), F.struct("batch", "live", *KEY, "ref_at", "fault"))).alias("old")
+        each = rows.groupBy(*ID).agg(F.min(F.struct("ref_at", *KEY)).alias("r"), old, F.max(F.col("batch").isNull()).alias("fresh"))
+        # a row left under a key that its reference no longer has is not live and waits for nothing
+        each = cut_lineage(each.filter("fresh or old.live").select(*ID, "r.*", "old"))
+        index = arrived.select(*columns(PARENT))
+        if whole:
+            keys = each.select(*KEY).distinct()
+            index = index_parents(self.table("parents", whole).join(keys, KEY, "left_semi").select(*columns(PARENT)).unionByName(index))
         # a hot parent's references are spread over copies of its row
-        found = salted_join(each, merged, ["parent_kind", "parent_key"], ["ref_table", "row_id"], "left")
-        judged = F.when(F.col("first_at").isNull() & F.col("removed").isNull(), "missing").when(F.col("removed"), "deleted").when(F.col("first_at") > F.col("ref_at"), "late")
-        out = found.select(*columns(REF), F.when(F.col("fresh") | F.coalesce("changed", F.lit(False)), judged).otherwise(F.col("fault")).alias("fault"))
-        return replace(self, parents=merged.select(*columns(PARENT)), refs=cut_lineage(out) if durable else out)
+        found = salted_join(each, index, KEY, ID, "left")
+        fault = F.when(F.col("removed").isNull(), "missing").when(F.col("removed"), "deleted").when(F.col("first_at") > F.col("ref_at"), "late")
+        found = found.withColumn("fault", fault)
+        moved = ~(F.col("old.parent_kind").eqNullSafe(F.col("parent_kind")) & F.col("old.parent_key").eqNullSafe(F.col("parent_key")))
+        same = ~moved & F.col("old.ref_at").eqNullSafe(F.col("ref_at")) & F.col("old.fault").eqNullSafe(F.col("fault"))
+        now = F.struct(*KEY, "ref_at", "fault", F.lit(True).alias("live"), F.col("old.fault").alias("was"), F.col("old.ref_at").alias("was_at"))
+        gone = F.struct(*[F.col(f"old.{c}").alias(c) for c in KEY], F.col("old.ref_at").alias("ref_at"), none("string").alias("fault"), F.lit(False).alias("live"), none("string").alias("was"), none("timestamp").alias("was_at"))
+        changed = found.filter(F.col("old").isNull() | ~same)
+        return changed.select(*ID, F.inline(F.when(F.col("old").isNotNull() & moved, F.array(now, gone)).otherwise(F.array(now))))
+
+    def _count(self, written: DataFrame, number: int) -> None:
+        month = lambda at: F.date_format(at, "yyyy-MM")
+        sides = F.array(
+            F.struct(month("ref_at").alias("month"), F.col("fault").alias("kind"), F.lit(1).alias("d")),
+            F.struct(month("was_at").alias("month"), F.col("was").alias("kind"), F.lit(-1).alias("d")),
+        )
+        rows = written.filter("live").select("ref_table", F.inline(sides)).filter("kind is not null")
+        self._write("counts", number, rows.groupBy("ref_table", "month", "kind").agg(F.sum("d").alias("n")))
+
+    # ------------------------------------------------------------ results
 
     def faults(self) -> DataFrame:
         """``ref_table, row_id, kind, ref_at`` of all references that have a fault now."""
-        return self.refs.filter("fault is not null").select("ref_table", "row_id", F.col("fault").alias("kind"), "ref_at")
+        last = self.table("refs").groupBy(*ID).agg(F.max(F.struct("batch", "live", "fault", "ref_at")).alias("r"))
+        return last.filter("r.fault is not null").select(*ID, F.col("r.fault").alias("kind"), "r.ref_at")
 
-    def snapshot(self) -> DataFrame:
-        """``ref_table, month, kind, n``: faults by table and month of loading (month null if the time is)."""
-        month = F.date_format("ref_at", "yyyy-MM").alias("month")
-        return self.faults().groupBy("ref_table", month, "kind").agg(F.count("*").alias("n"))
+    def snapshot(self, upto: int | None = None) -> DataFrame:
+        """``ref_table, month, kind, n``: faults by table and month of loading (month null if the time is), after batch ``upto`` or now."""
+        rows = self.table("counts", [k for k in self.batches() if upto is None or k <= upto])
+        return rows.groupBy("ref_table", "month", "kind").agg(F.sum("n").alias("n")).filter("n != 0")
+
+    def snapshots(self) -> DataFrame:
+        """``batch, ref_table, month, kind, n``: the snapshot after every batch."""
+        each = [self.snapshot(k).withColumn("batch", F.lit(k)) for k in self.batches()]
+        return reduce(DataFrame.unionByName, each) if each else self.snapshot().withColumn("batch", F.lit(0))
 
 
 def columns(schema: str) -> list[str]:
@@ -79,9 +149,9 @@ def index_parents(parents: DataFrame) -> DataFrame:
     latest = F.max(F.struct("version", F.coalesce("removed", F.lit(False)).alias("removed")))
     return (
         parents.filter("parent_key is not null")
-        .groupBy("parent_kind", "parent_key")
-        .agg(F.min("first_at").alias("first_at"), latest.alias("l"), F.max("changed").alias("changed"))
-        .select("parent_kind", "parent_key", "first_at", "l.version", "l.removed", "changed")
+        .groupBy(*KEY)
+        .agg(F.min("first_at").alias("first_at"), latest.alias("l"))
+        .select(*KEY, "first_at", "l.version", "l.removed")
     )
 
 
@@ -121,9 +191,12 @@ def recording_parents(recordings: DataFrame, channel_files: DataFrame) -> DataFr
     return recs.unionByName(files)
 
 
-def track(refs: DataFrame, parents: DataFrame, boundaries: list[str]) -> Orphans:
-    """The state after replaying all rows in batches cut at ``boundaries`` (timestamps); rows without a time come first."""
-    state = Orphans.empty(refs.sparkSession)
+def track(refs: DataFrame, parents: DataFrame, boundaries: list[str], folder: str | None = None) -> Orphans:
+    """The state after replaying all rows in batches cut at ``boundaries`` (timestamps); rows without a time come first.
+
+    Both inputs are read once a batch: make them durable first if they cost much.
+    """
+    state = Orphans(refs.sparkSession, folder)
     cuts = [None, *boundaries, None]
     for low, high in zip(cuts[:-1], cuts[1:]):
         def within(at: str):
@@ -133,7 +206,7 @@ def track(refs: DataFrame, parents: DataFrame, boundaries: list[str]) -> Orphans
             if high is not None:
                 ok = ok & (F.col(at) < F.lit(high).cast("timestamp"))
             return ok | F.col(at).isNull() if low is None else ok
-        state = state.advance(refs.filter(within("ref_at")), parents.filter(within("first_at")))
+        state.advance(refs.filter(within("ref_at")), parents.filter(within("first_at")))
     return state
 
 

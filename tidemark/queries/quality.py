@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import implausible as imp
 from tidemark.operators import references as ref
 from tidemark.operators import sweep
+from tidemark.session import cut_lineage
 from tidemark.tables import read
 
 
@@ -23,6 +24,7 @@ def p1_fences(spark: SparkSession, d: str) -> DataFrame:
 def _p3_state(spark: SparkSession, d: str) -> ref.Orphans:
     recordings = read(spark, d, "recordings")
     refs = ref.recording_references(read(spark, d, "annotations"), read(spark, d, "reviewed_spans"), recordings)
+    refs = cut_lineage(refs)
     parents = ref.recording_parents(recordings, read(spark, d, "channel_files"))
     return ref.track(refs, parents, ref.even_boundaries(refs, 3))
 

@@ -43,6 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; it outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -24,13 +24,14 @@ def window_stats(events: DataFrame, key: str, at: str, value: str, length: str,
 class OrphanStream:
     """Keeps ``Orphans`` up to date from a stream of mixed rows; pass ``batch`` to ``foreachBatch``.
 
-    Rows have REF and PARENT columns and ``is_ref``; the state outlives a batch in the checkpoint folder.
+    Rows have REF and PARENT columns and ``is_ref``. The state is in ``folder``, so a stream that starts again goes on from it; a micro-batch that
+    is sent a second time is known by its number and passed over.
     """
 
-    def __init__(self, spark) -> None:
-        self.state = Orphans.empty(spark)
+    def __init__(self, spark, folder: str | None = None) -> None:
+        self.state = Orphans(spark, folder)
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
         refs = rows.filter("is_ref").select("ref_table", "row_id", "parent_kind", "parent_key", "ref_at")
         parents = rows.filter("not is_ref").select("parent_kind", "parent_key", "first_at", "version", "removed")
-        self.state = self.state.advance(refs, parents)
+        self.state.advance(refs, parents, batch_id)
