@@ -267,32 +267,88 @@ def brute_spans(docs, least):
     return pairs, cover
 
 
-@pytest.mark.parametrize("parts,chars", [(2048, 1 << 20), (3, 4000)])
-def test_shared_spans_against_brute_force(spark, monkeypatch, parts, chars):
-    monkeypatch.setattr(spans, "PARTS_ASKED", 2 if parts == 3 else 16)
-    r = random.Random(parts)
-    word = lambda n: "".join(r.choice("abcdefgh éü信\n ") for _ in range(n))
-    quotes = [word(n) for n in (30, 31, 45, 60, 200)]
-    docs = []
-    for i in range(60):
-        t = "".join(word(r.randrange(0, 60)) + r.choice(quotes) * (r.random() < 0.6) for _ in range(r.randrange(1, 5)))
-        docs.append((i, t))
-    docs += [(70, docs[0][1]), (71, docs[0][1]), (72, None), (73, ""), (74, "short"), (75, "x" * 300), (76, "y" + "x" * 250), (77, "z" * 500), (78, quotes[4][:40]), (79, quotes[4][10:40])]
+def quoting(seed, n=60):
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choice("abcdefgh éü信\n ") for _ in range(k))
+    quotes = [word(k) for k in (30, 31, 45, 60, 200)]
+    docs = [(i, "".join(word(r.randrange(0, 60)) + r.choice(quotes) * (r.random() < 0.6) for _ in range(r.randrange(1, 5)))) for i in range(n)]
+    return docs + [(70, docs[0][1]), (71, docs[0][1]), (72, None), (73, ""), (74, "short"), (75, "x" * 300), (76, "y" + "x" * 250), (77, "z" * 500), (78, quotes[4][:40]), (79, quotes[4][10:40])]
+
+
+@pytest.mark.parametrize("hot,chars,members", [(4096, 1 << 20, 1024), (3, 4000, 2), (1, 300, 3)])
+def test_shared_spans_against_brute_force(spark, monkeypatch, hot, chars, members):
+    monkeypatch.setattr(spans, "MEMBERS", members)
+    docs = quoting(hot)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("pos", F.lit("extra"))
-    found = spans.Shared(df, least=30, gram=8, anchor=8, part_regions=parts, shard_chars=chars)
+    found = spans.Shared(df, least=30, gram=8, hot_regions=hot, shard_chars=chars)
     pairs, cover = brute_spans(docs, 30)
     got = [tuple(x) for x in found.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
     assert {x.doc_id: x.shared_chars for x in found.shares().collect()} == cover
-    assert spans.Shared(df.limit(0)).pairs().count() == 0
+    together = defaultdict(set)
+    for g in found.groups().collect():
+        together[g.g1, g.g2].add(g.doc_id)
+    rep = {c.doc_id: c.rep for c in found.copies().collect()}
+    of_groups = {(a, b) for s in together.values() for a in s for b in s if a < b}
+    assert of_groups == {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in pairs if rep[a] != rep[b]}
+    empty = spans.Shared(df.limit(0))
+    assert empty.pairs().count() == 0 and empty.shares().count() == 0 and empty.groups().count() == 0
+
+
+def test_shared_spans_of_a_hot_header_grow_with_the_documents(spark):
+    r = random.Random(4)
+    header = "".join(r.choice("abcdefghij ") for _ in range(260))
+    rows = []
+    for n in (400, 800):
+        docs = [(i, header + chr(0x4E00 + i) + "".join(r.choice("klmnopqrst ") for _ in range(300))) for i in range(n)]
+        found = spans.Shared(spark.createDataFrame(docs, "doc_id long, text string"), hot_regions=50)
+        rows.append(found.found.count())
+        assert {x.shared_chars for x in found.shares().collect()} == {260} and found.shares().count() == n
+    assert rows[1] == 2 * rows[0]  # 61 spans a document, not a row for each pair
+    docs = [(i, header + chr(0x4E00 + i) + "".join(r.choice("klmnopqrst ") for _ in range(300))) for i in range(120)]
+    assert spans.Shared(spark.createDataFrame(docs, "doc_id long, text string"), hot_regions=50).pairs().count() == 120 * 119 // 2
+
+
+def test_fingerprints_are_chosen_by_content():
+    r = random.Random(3)
+    for text in ["".join(r.choice("ab ") for _ in range(3000)), "x" * 900, "ab" * 400, "".join(r.choice("abc") * r.randrange(1, 90) for _ in range(60))]:
+        h, p = spans.fingerprints(text, 40, 12)
+        assert (np.diff(p) > 0).all() and all(((p >= j) & (p <= j + 28)).any() for j in range(len(text) - 39))
+        cut = text[217:640]
+        mine = set(spans.fingerprints(cut, 40, 12)[0].tolist())
+        for j in range(0, len(cut) - 40, 7):  # both hold a fingerprint of every stretch, with the same hash
+            inside = h[(p >= 217 + j) & (p <= 217 + j + 28)].tolist()
+            assert mine & set(inside)
+    assert len(spans.fingerprints("x" * 5000, 40, 12)[1]) < 200
+
+
+def test_matching_statistics_against_brute_force():
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc") for _ in range(r.randrange(12, 90))) for _ in range(12)]
+    texts[5] = texts[1][3:40] + texts[2][:30]
+    regions = [[k, 100 * k, t] for k, t in enumerate(texts)]
+    for lane in (1, 7, 1024):
+        members, found = spans.search_shard(regions, 12, lane)
+        pairs, cover = brute_spans(list(enumerate(texts)), 12)
+        groups = defaultdict(set)
+        for g, d in members.tolist():
+            groups[g].add(d)
+        assert {(a, b) for s in groups.values() for a in s for b in s if a < b} == pairs
+        got = defaultdict(set)
+        for d, a, z in found.tolist():
+            got[d].update(range(a - 100 * d, z - 100 * d))
+        assert {d: len(v) for d, v in got.items()} == cover
 
 
 def test_fm_index_counts():
     r = random.Random(9)
     text = np.array([r.randrange(1, 5) for _ in range(600)] + [0])
-    index = spans.FMIndex(text, 12, 4)
-    pats = np.array([[r.randrange(1, 5) for _ in range(5)] for _ in range(40)] + [text[k : k + 5].tolist() for k in range(560, 596)])
-    lo, hi = index.search(pats)
-    for p, a, b in zip(pats, lo, hi):
-        want = [i for i in range(len(text) - 4) if (text[i : i + 5] == p).all()]
-        assert sorted(index.places[a:b].tolist()) == want
+    for depth in (5, 12, 30):
+        index = spans.FMIndex(text, depth, 4)
+        for p in [[r.randrange(1, 5) for _ in range(5)] for _ in range(40)] + [text[k : k + 5].tolist() for k in range(560, 596)]:
+            lo, hi = np.array([0]), np.array([len(text)])
+            for c in reversed(p):
+                lo, hi = index.extend(np.array([c]), lo, hi)
+            assert sorted(index.places[lo[0] : hi[0]].tolist()) == [i for i in range(len(text) - 4) if (text[i : i + 5] == p).all()]
+        gram = [tuple(text[i : i + depth]) for i in index.places]
+        assert [a == b for a, b in zip(gram, gram[1:])] == [a == b for a, b in zip(index.group, index.group[1:])]
