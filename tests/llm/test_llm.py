@@ -141,6 +141,7 @@ WINDOWS = "window_id long, features array<double>, label int, loaded_at timestam
 @pytest.mark.parametrize("chunk,per_cell", [(8192, 2048), (16, 8), (4, 4)])
 def test_clusters_against_brute_force(spark, monkeypatch, chunk, per_cell):
     monkeypatch.setattr(clusters, "PER_CELL", per_cell)
+    monkeypatch.setattr(clusters, "LEAF", 5)
     r = np.random.default_rng(chunk)
     centres = r.normal(size=(12, 5)) * 1.5
     points = {}
@@ -168,6 +169,46 @@ def test_clusters_against_brute_force(spark, monkeypatch, chunk, per_cell):
         assert list(row.typical) == [members[i] for i in np.lexsort((members, cost))[:3]] and row.medoid == row.typical[0]
 
 
+def test_a_crowded_cell_is_covered_level_by_level(spark):
+    r = np.random.default_rng(5)
+    for n in (100, 200):
+        x = np.r_[r.normal(size=(n, 3)) * 0.01, r.normal(size=(n // 2, 3)) * 0.01 + [0.5, 0, 0], [[0.25, 0, 0]] * 10, r.normal(size=(10, 3)) * 0.01 + [0.9, 0, 0]]
+        df = spark.createDataFrame([(k, row.tolist(), 1, T0) for k, row in enumerate(x)], WINDOWS)
+        heads = df.select(F.lit(1).cast("long").alias("cell"), F.lit(3).alias("d"), F.col("window_id").alias("pivot"), F.col("features").cast("array<double>").alias("features"))
+        tops, pairs, sure = clusters.covered_levels(heads, 0.25, 16, "array<double>")
+        assert tops.count() == len(x) and tops.select("top").distinct().count() <= 16 and sure.count() <= 2 * len(x) and pairs.count() <= 120
+        labels = {c.window_id: c.cluster_id for c in clusters.cluster(df, chunk=16).collect()}
+        assert labels == brute_clusters(dict(enumerate(x.tolist())), 0.25)
+
+
+@pytest.mark.parametrize("least", [0.24, 0.26])
+def test_crowded_balls_that_hardly_touch(spark, least):
+    """Two crowded groups whose only link, if any, is between members far from both pivots."""
+    r = np.random.default_rng(1)
+    a, b = r.uniform(-0.1, 0.1, (80, 2)), r.uniform(-0.1, 0.1, (80, 2))
+    b[:, 0] += a[:, 0].max() - b[:, 0].min() + least
+    b[:, 1] += a[a[:, 0].argmax(), 1] - b[b[:, 0].argmin(), 1]
+    points = dict(enumerate(np.r_[a, b].tolist()))
+    df = spark.createDataFrame([(k, p, 1, T0) for k, p in points.items()], WINDOWS)
+    got = {c.window_id: c.cluster_id for c in clusters.cluster(df, chunk=8).collect()}
+    assert got == brute_clusters(points, 0.25) and len(set(got.values())) == (1 if least < 0.25 else 2)
+
+
+def test_tree_puts_alike_vectors_into_one_cell():
+    r = np.random.default_rng(6)
+    x = np.r_[r.normal(size=(3000, 4)), r.normal(size=(600, 4)) * 0.1 + 3]
+    tree = clusters.Tree(x[::3], 50 * len(x), 0.1)
+    row, key = tree.place(x)
+    assert len(tree.nodes) > 9 and len(row) < 3 * len(x) and len(np.unique(key)) > 5
+    cells = defaultdict(set)
+    for i, k in zip(row.tolist(), key.tolist()):
+        cells[i].add(k)
+    i, j, _ = clusters.near_pairs(x, x, 0.01, True)
+    assert len(i) > 100 and all(cells[a] & cells[b] for a, b in zip(i.tolist(), j.tolist()))
+    flat = clusters.Tree(np.zeros((500, 4)), 10**6, 0.1)
+    assert len(flat.nodes) == 1 and len(flat.place(np.zeros((7, 4)))[0]) == 7
+
+
 def test_clusters_of_nothing(spark):
     df = spark.createDataFrame([], WINDOWS)
     assert clusters.cluster(df).count() == 0
