@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
 from tidemark.tables import first_loaded
 
 BLOCK = 1 << 16
 
 
 def active_counts(spans: DataFrame, entity: list[str], start: str, end: str, block: int = BLOCK) -> DataFrame:
-    """``entity, pos, before, active, started``: spans open just before and from each boundary on.
+    """``entity, blk, pos, before, active, started, starts``: spans open just before and from each boundary on.
 
     ``started`` counts the spans that start at or before ``pos``. Spans with a null bound or ``end <= start`` are
     left out, and so are null entities. Extra columns are ignored; an empty table gives an empty result.
@@ -28,7 +29,8 @@ def active_counts(spans: DataFrame, entity: list[str], start: str, end: str, blo
         F.struct(F.col(start).cast("long").alias("pos"), F.lit(1).alias("delta"), F.lit(1).alias("starts")),
         F.struct(F.col(end).cast("long").alias("pos"), F.lit(-1).alias("delta"), F.lit(0).alias("starts")),
     )
-    events = (
+    # written once: block totals and prefix sums both read it
+    events = cut_lineage(
         valid.select(*entity, F.inline(edges))
         .groupBy(*entity, "pos")
         .agg(F.sum("delta").alias("delta"), F.sum("starts").alias("starts"))
@@ -47,7 +49,7 @@ def active_counts(spans: DataFrame, entity: list[str], start: str, end: str, blo
         events.join(carry, [*entity, "blk"])
         .withColumn("active", F.col("carry_d") + F.sum("delta").over(upto))
         .withColumn("started", F.col("carry_s") + F.sum("starts").over(upto))
-        .select(*entity, "pos", (F.col("active") - F.col("delta")).alias("before"), "active", "started", "starts")
+        .select(*entity, "blk", "pos", (F.col("active") - F.col("delta")).alias("before"), "active", "started", "starts")
     )
 
 
@@ -55,20 +57,26 @@ def periods(spans: DataFrame, entity: list[str], start: str, end: str, block: in
     """``entity, from_idx, to_idx, n_spans, next_from``: overlapping or touching spans as one period.
 
     ``next_from`` is where the entity's next period starts, null for the last. Only boundaries where nothing is
-    active on one side remain here, at most two per period of one entity.
+    active on one side remain here. Each block looks at its own; what lies behind its last ones comes from a row per block.
     """
-    sides = active_counts(spans, entity, start, end, block).filter("before = 0 or active = 0")
-    sides = sides.filter("not (before = 0 and active = 0)")
-    order = Window.partitionBy(*entity).orderBy("pos")
+    sides = active_counts(spans, entity, start, end, block).filter("(before = 0) != (active = 0)")
+    sides = cut_lineage(sides.select(*entity, "blk", "pos", "before", "started", "starts"))
+    here = Window.partitionBy(*entity, "blk").orderBy("pos")
+    first = sides.withColumn("k", F.row_number().over(here)).filter("k <= 2").groupBy(*entity, "blk")
+    first = first.agg(F.min("pos").alias("p1"), F.max(F.when(F.col("k") == 2, F.col("pos"))).alias("p2"), F.min_by("started", "pos").alias("s1"))
+    order = Window.partitionBy(*entity).orderBy("blk")
+    ahead = first.select(*entity, "blk", F.lead("p1").over(order).alias("n1"), F.lead("s1").over(order).alias("ns"), F.coalesce(F.lead("p2").over(order), F.lead("p1", 2).over(order)).alias("n2"))
+    one, two = F.lead("pos").over(here), F.lead("pos", 2).over(here)
     return (
-        sides.select(
+        sides.join(ahead, [*entity, "blk"])
+        .select(
             *entity,
             "pos",
             "before",
             (F.col("started") - F.col("starts")).alias("started_before"),
-            F.lead("pos").over(order).alias("to_idx"),
-            F.lead("started").over(order).alias("started_after"),
-            F.lead("pos", 2).over(order).alias("next_from"),
+            F.coalesce(one, "n1").alias("to_idx"),
+            F.coalesce(F.lead("started").over(here), "ns").alias("started_after"),
+            F.when(one.isNull(), F.col("n2")).otherwise(F.coalesce(two, "n1")).alias("next_from"),
         )
         .filter("before = 0")
         .select(
