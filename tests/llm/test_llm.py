@@ -61,6 +61,42 @@ def test_groups(spark, rows):
     assert abs(report["train"] - 0.6) < 0.07
 
 
+def test_shares_hold_at_every_size():
+    for sizes in ({1: 5_000_000}, {1: 42_000_000}, {1: 20_000_000, 3: 2_000_000, 50: 100_000, 7777: 300, 3_000_000: 1, 900_000: 1}, {2: 4_000_001}, {1_000_000: 7, 1: 3}):
+        total = sum(size * n for size, n in sizes.items())
+        dealt = splits.deal(sizes, [("train", 0.8), ("val", 0.1), ("test", 0.1)])
+        for name, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
+            assert abs(sum(size * n for size, n in dealt[name].items()) - share * total) <= 1.5 * max(sizes)
+        assert all(sum(d.get(size, 0) for d in dealt.values()) == n for size, n in sizes.items())
+    assert all(sum(s * n for s, n in d.items()) == t for d, t in zip(splits.deal({1: 42_000_000}, [("a", 0.8), ("b", 0.1), ("c", 0.1)]).values(), (4_200_000, 4_200_000, 33_600_000)))
+
+
+def test_split_queries_by_value(spark, data):
+    from tidemark.llm import queries
+
+    rows = queries.p2_splits(spark, data).toPandas()
+    assert not rows.duplicated(["row_table", "row_id"]).any()
+    for table in ("recordings", "annotations"):
+        ids = {r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").select("id").distinct().collect() if r[0] is not None}
+        assert set(rows.row_id[rows.row_table == table]) == ids
+    assert rows.groupby("group_key").split_name.nunique().max() == 1
+    targets = {r.split_name: r.target_share for r in spark.read.parquet(f"{data}/split_targets.parquet").collect()}
+    size, left = rows.group_key.value_counts().tolist(), len(rows)
+    got = rows.split_name.value_counts().to_dict()
+    for name in sorted(targets, key=lambda n: (targets[n], n))[:1]:  # the first split is the best of all choices
+        reach = 1
+        for n in size:
+            reach |= reach << n
+        goal = round(targets[name] * left)
+        assert abs(got.get(name, 0) - goal) == min(abs(t - goal) for t in range(left + 1) if reach >> t & 1)
+    report = {r.split_name: r for r in queries.p2_report(spark, data).collect()}
+    assert {n: r.n_recordings + r.n_annotations for n, r in report.items()} == {n: got.get(n, 0) for n in targets}
+    assert all(abs(r.actual_share - got.get(n, 0) / left) < 1e-9 for n, r in report.items())
+    found = queries.p2_found(spark, data).collect()
+    key = rows[rows.row_table == "recordings"].set_index("row_id").group_key.to_dict()
+    assert found and all(key[r.group_id] == key[r.recording_id] for r in found)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_subset_counts_is_optimal(seed):
     r = random.Random(seed)
@@ -221,6 +257,16 @@ def test_clusters_of_nothing(spark):
 ODD = ["a", "b", " ", "  ", "\n", "'s", "'", "ll", "1", "23", "é", "信", "號", "!", "?", "'re", "\t", " ", "😀", "é", "​", "'v", "<|endoftext|>", "\x00"]
 
 
+def test_decoding_gives_the_text_back():
+    r = random.Random(6)
+    for piece in (1, 3, 1 << 12):
+        encoder = tokens.Encoder(tokens.vocabulary(), piece=max(piece, 3))
+        encoder.piece = piece if piece > 1 else 1
+        for n in (0, 1, 5, 60, 400):
+            text = "".join(r.choice(ODD) for _ in range(n))
+            assert encoder.decode(encoder.bpe.encode_ordinary(text)) == text
+
+
 @pytest.mark.parametrize("piece", [3, 7, 20])
 def test_tree_equals_whole(piece):
     whole, tree = tokens.Encoder(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary(), piece=piece)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.salting import salted_join
 from tidemark.session import cut_lineage
 
 
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             # nodes hooked earlier follow their root; the newly hooked ones join them
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            found = found.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(parent)
+            found = salted_join(found, up, ["root"], ["node"], "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(parent)
         rest = cut_lineage(relabel(rest, parent))
         found = cut_lineage(found)
     if found is None:
@@ -44,7 +45,7 @@ def shortcut(parent: DataFrame) -> DataFrame:
     """Every node's parent replaced by its grandparent until nothing changes."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = cut_lineage(parent.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        jumped = cut_lineage(salted_join(parent, up, ["root"], ["node"], "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
         parent = jumped.select("node", "root")
         if jumped.filter("moved").isEmpty():
             return parent
@@ -54,5 +55,5 @@ def relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
     """Edges with both ends replaced by their roots."""
     for end in ("a", "b"):
         of = parent.select(F.col("node").alias(end), F.col("root").alias("_root"))
-        edges = edges.join(of, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        edges = salted_join(edges, of, [end], ["a", "b"], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
     return normal(edges)

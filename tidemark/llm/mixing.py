@@ -57,6 +57,17 @@ def reachable_total(rows: Sequence[tuple[float, int]]) -> int:
     return min(fits, default=0)
 
 
+def shard_quotas(batches):
+    """A source's blocks dealt to its shards by their tokens: a source's list has a row per PER_SHARD of its texts, and stays with the executors."""
+    import pandas as pd
+
+    for batch in batches:
+        for r in batch.itertuples():
+            shards, held = [s["shard"] for s in r.shards], [s["held"] for s in r.shards]
+            got = sainte_lague(held, int(r.blocks), [-(-t * r.max_repeats // r.block) for t in held])
+            yield pd.DataFrame({"plan": r.plan, "source": r.source, "shard": shards, "quota": [min(g * r.block, t * r.max_repeats) for g, t in zip(got, held)], "held": held, "max_repeats": r.max_repeats})
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizers: str = TOKENIZERS, per_shard: int = PER_SHARD) -> DataFrame:
     """``plan, source, doc_id, tokens, copies``: the texts drawn for each plan and how often.
 
@@ -77,19 +88,17 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     n_shards = {k: max(1, -(-n // per_shard)) for k, (_, n) in sizes.items()}
     shards = F.broadcast(spark.createDataFrame([(p, s, n) for (p, s), n in n_shards.items()], "plan string, source string, shards long"))
     sharded = first.join(shards, ["plan", "source"]).withColumn("shard", F.pmod("h", "shards"))
-    per = [tuple(r) for r in sharded.groupBy("plan", "source", "shard").agg(F.sum("tokens")).collect()]  # a row per PER_SHARD texts
-    quotas = []
+    dealt = []  # a row per plan and source: blocks, block size and cap
     for plan in sorted({p for p, *_ in plans}):
         rows = [(s, share, rep, sizes.get((plan, s), (0, 0))[0]) for p, s, share, rep in plans if p == plan]
         total = reachable_total([(share, t * rep) for _, share, rep, t in rows]) if total_tokens is None else total_tokens
         block = max(1, total // BLOCKS)
-        dealt = sainte_lague([share for _, share, _, _ in rows], total // block)
-        for (source, _, rep, tokens), blocks in zip(rows, dealt):
-            mine = sorted((sh, t) for p, s, sh, t in per if (p, s) == (plan, source))
-            blocks = min(blocks, tokens * rep // block)
-            for (sh, t), got in zip(mine, sainte_lague([t for _, t in mine], blocks, [-(-t * rep // block) for _, t in mine])):
-                quotas.append((plan, source, sh, min(got * block, t * rep), t, rep))
-    quota = F.broadcast(spark.createDataFrame(quotas, "plan string, source string, shard long, quota long, held long, max_repeats long"))
+        for (source, _, rep, tokens), blocks in zip(rows, sainte_lague([share for _, share, _, _ in rows], total // block)):
+            dealt.append((plan, source, min(blocks, tokens * rep // block), block, rep))
+    dealt = F.broadcast(spark.createDataFrame(dealt, "plan string, source string, blocks long, block long, max_repeats long"))
+    held = sharded.groupBy("plan", "source", "shard").agg(F.sum("tokens").alias("held"))
+    lists = held.groupBy("plan", "source").agg(F.array_sort(F.collect_list(F.struct("shard", "held"))).alias("shards")).join(dealt, ["plan", "source"])
+    quota = lists.mapInPandas(shard_quotas, "plan string, source string, shard long, quota long, held long, max_repeats long")
     upto = F.sum("tokens").over(Window.partitionBy("plan", "source", "shard").orderBy("h", "text_key").rowsBetween(Window.unboundedPreceding, 0))
     drawn = sharded.join(quota, ["plan", "source", "shard"]).withColumn("upto", upto)
     whole = F.floor(F.col("quota") / F.col("held"))

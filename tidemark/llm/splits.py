@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.operators.ranking import hash_order, running
+from tidemark.operators.salting import salted_join
 from tidemark.session import cut_lineage
 from tidemark.tables import first_loaded, session_name
 
@@ -33,10 +34,11 @@ def annotation_links(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
     # children of one parent on one recording count once: a parent with very many children costs a row per recording
     child = live.filter("parent_annotation_id is not null").select("parent_annotation_id", F.col("recording_id").alias("child_rec")).distinct()
     parent = live.select(F.col("id").alias("parent_annotation_id"), F.col("recording_id").alias("parent_rec"))
-    pairs = child.join(parent, "parent_annotation_id").filter("child_rec != parent_rec").select("child_rec", "parent_rec").distinct()
+    pairs = salted_join(child, parent, ["parent_annotation_id"], ["child_rec"]).filter("child_rec != parent_rec").select("child_rec", "parent_rec").distinct()
     a = nodes.select(F.col("recording_id").alias("child_rec"), F.col("node").alias("a"))
     b = nodes.select(F.col("recording_id").alias("parent_rec"), F.col("node").alias("b"))
-    return pairs.join(a, "child_rec").join(b, "parent_rec").select("a", "b")
+    pairs = cut_lineage(pairs)
+    return salted_join(salted_join(pairs, a, ["child_rec"], ["parent_rec"]), b, ["parent_rec"], ["child_rec"], counts=pairs.groupBy("parent_rec").agg(F.count("*").alias("_n"))).select("a", "b")
 
 
 def groups(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -46,9 +48,10 @@ def groups(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
     """
     nodes = cut_lineage(recording_nodes(recordings))
     root = components(annotation_links(annotations, nodes))
-    merged = nodes.join(root, "node", "left").select("recording_id", F.coalesce("root", "node").alias("node"))
-    smallest = merged.groupBy("node").agg(F.min("recording_id").alias("group_id"))
-    return merged.join(smallest, "node").select("recording_id", "group_id")
+    # few components, each with all of its sessions: a hot session or component is spread over copies of its row
+    merged = cut_lineage(salted_join(nodes, root, ["node"], ["recording_id"], "left").select("recording_id", F.coalesce("root", "node").alias("node")))
+    sized = cut_lineage(merged.groupBy("node").agg(F.min("recording_id").alias("group_id"), F.count("*").alias("_n")))
+    return salted_join(merged, sized.drop("_n"), ["node"], ["recording_id"], counts=sized).select("recording_id", "group_id")
 
 
 def grouped(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -62,15 +65,28 @@ def grouped(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
 def subset_counts(multiplicity: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take so that the total is as close to ``target`` as any choice gets.
 
-    Bit t of a bitset says that total t is reachable. A size's multiplicity is taken in chunks of 1, 2, 4, ..., so a
+    Taking whole groups from the largest size on comes within one group of the target. Some best choice differs from that in few groups (five times the largest size at
+    most: of more, some taken and some left would have equal totals and could be swapped), so all but that many groups of each size are settled at once.
+
+    Of the rest, bit t of a bitset says that total t is reachable. A size's multiplicity is taken in chunks of 1, 2, 4, ..., so a
     size costs a logarithmic number of shift-and-or steps; the bitsets are walked back for the choice. Of two totals equally close, the smaller.
     Totals are true totals. A bitset has target plus largest size bits: a closest total above the target is less than one group beyond it. Of
     n bitsets about the square root of n are kept, and those between are made again on the way back, one stretch at a time.
     """
-    limit = target + max(multiplicity, default=0)
+    largest = max(multiplicity, default=0)
+    spare, left, out = 5 * largest, target, {}
+    rest: dict[int, int] = {}
+    for size, n in sorted(multiplicity.items(), reverse=True):
+        whole = min(n, max(0, left) // size)
+        left -= whole * size
+        out[size] = max(0, whole - spare)
+        rest[size] = min(n, whole + spare) - out[size]
+    target -= sum(size * n for size, n in out.items())
+    out = {size: n for size, n in out.items() if n}
+    limit = target + largest
     mask = (1 << (limit + 1)) - 1
     chunks = []
-    for size, n in sorted(multiplicity.items()):
+    for size, n in sorted(rest.items()):
         k = 1
         while n > 0:
             take = min(k, n)
@@ -87,7 +103,6 @@ def subset_counts(multiplicity: dict[int, int], target: int) -> dict[int, int]:
     high = last >> (target + 1)
     above = target + (high & -high).bit_length() if high else None
     total = below if above is None or target - below <= above - target else above
-    out: dict[int, int] = {}
     while kept:
         first = (len(kept) - 1) * stretch
         part = chunks[first : first + stretch]
@@ -128,7 +143,7 @@ def records(recordings: DataFrame, annotations: DataFrame) -> DataFrame:
     """
     of = groups(recordings, annotations).select("recording_id", F.concat(F.lit("g:"), F.col("group_id").cast("string")).alias("group_key"))
     recs = of.select(F.lit("recordings").alias("row_table"), F.col("recording_id").alias("row_id"), "group_key")
-    notes = first_loaded(annotations, "id", ["recording_id"]).join(of, "recording_id", "left")
+    notes = salted_join(cut_lineage(first_loaded(annotations, "id", ["recording_id"]).select("id", "recording_id")), of, ["recording_id"], ["id"], "left")
     own = F.coalesce("group_key", F.concat(F.lit("u:"), F.col("recording_id").cast("string")), F.concat(F.lit("a:"), F.col("id").cast("string")))
     return recs.unionByName(notes.select(F.lit("annotations").alias("row_table"), F.col("id").alias("row_id"), own.alias("group_key")))
 
@@ -155,7 +170,7 @@ def assign(recordings: DataFrame, annotations: DataFrame, targets: DataFrame, se
     plan = spark.createDataFrame(cuts, "size long, after long, until long, split_name string")
     ranked = running(sized.withColumn("h", hash_order("group_key", seed=seed)), ["size"], "h", "group_key")
     chosen = ranked.join(plan, "size").filter("upto > after and upto <= until").select("group_key", "split_name")
-    return rows.join(chosen, "group_key").select("row_table", "row_id", "group_key", "split_name")
+    return salted_join(rows, chosen, ["group_key"], ["row_table", "row_id"], counts=sized.select("group_key", F.col("size").alias("_n"))).select("row_table", "row_id", "group_key", "split_name")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

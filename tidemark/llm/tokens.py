@@ -23,7 +23,7 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE = 1 << 16
+PIECE = 1 << 12
 
 
 @dataclass
@@ -58,6 +58,17 @@ class Encoder:
             return self.bpe.encode_ordinary(text)
         return self.tree(text, 0, len(text)).ids.tolist()
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: the bytes of halves, joined up the tree; a cut may lie within a character, so characters are made at the top."""
+
+        def part(a: int, z: int) -> bytes:
+            if z - a <= self.piece:
+                return self.bpe.decode_bytes(ids[a:z])
+            middle = (a + z) // 2
+            return part(a, middle) + part(middle, z)
+
+        return part(0, len(ids)).decode()
+
     def leaf(self, text: str, start: int, end: int) -> Part:
         part = text[start:end]
         ids = np.array(self.bpe.encode_ordinary(part), np.int64)
