@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "signals", "features", "records", "detect", "learned"]
+MODULES = ["quality", "signals", "features", "records", "detect", "learned", "more"]
 
 
 def _modules():

@@ -69,9 +69,6 @@ def density(spans, recordings):
     return rows.groupBy("recording_id", F.when(F.col("n_samples") > 0, F.least(F.lit(99), F.greatest(F.lit(0), at))).cast("long").alias("bucket"), "verdict").agg(F.count("*").alias("n"))
 
 
-query("annotation_filter", f"WITH {NOTES} SELECT id, recording_id, verdict, tag FROM notes WHERE verdict IN ('seed', 'interesting') AND source IN ('manual_ui', 'batch_review') AND contains(lower(coalesce(note, '') || ' ' || coalesce(tag, '')), 'ro')")(
-    lambda s, d: notes(s, d).filter(F.col("verdict").isin("seed", "interesting") & F.col("source").isin("manual_ui", "batch_review") & F.lower(F.concat(F.coalesce("note", F.lit("")), F.lit(" "), F.coalesce("tag", F.lit("")))).contains("ro")).select("id", "recording_id", "verdict", "tag")
-)
 query(
     "bands",
     f"WITH {NOTES}, {RECS}, w AS (SELECT notes.id, event_count e, (end_idx - start_idx) / fs sec FROM notes JOIN recs ON notes.recording_id = recs.id WHERE fs > 0 AND NOT isnan(fs)) SELECT id, CASE WHEN e IS NULL THEN NULL WHEN e < 5 THEN 'short' WHEN e < 10 THEN 'medium' ELSE 'long' END train_band, CASE WHEN sec IS NULL THEN NULL WHEN sec > 6 * 3600 THEN 'extreme' WHEN sec > 3600 THEN 'very_long' WHEN sec > 15 * 60 THEN 'long' WHEN sec > 60 THEN 'medium' ELSE 'short' END duration_band FROM w",
@@ -93,9 +90,6 @@ query("annotation_provenance", f"WITH {NOTES}, {RECS} SELECT n.id, r.npy_path, p
     lambda s, d: notes(s, d).filter("parent_annotation_id is not null").select("id", "recording_id", "parent_annotation_id").join(recs(s, d).select(F.col("id").alias("recording_id"), "npy_path"), "recording_id")
     .join(notes(s, d).select(F.col("id").alias("parent_annotation_id"), F.col("verdict").alias("parent_verdict")), "parent_annotation_id", "left").select("id", "npy_path", F.when(F.col("parent_annotation_id") != F.col("id"), F.col("parent_verdict")).alias("parent_verdict"))
 )
-query("missing_provenance", f"WITH {NOTES} SELECT n.id FROM notes n WHERE n.source = 'label_import' AND NOT EXISTS (SELECT 1 FROM recordings r WHERE r.id = n.recording_id)")(
-    lambda s, d: notes(s, d).filter("source = 'label_import'").join(recs(s, d).select(F.col("id").alias("recording_id")), "recording_id", "left_anti").select("id")
-)
 query("latest_run", "SELECT o_custkey config_id, max(o_orderkey) run_id, max_by(o_orderstatus, o_orderkey) status FROM orders WHERE o_orderstatus != 'P' GROUP BY ALL")(
     lambda s, d: read(s, d, "orders").filter("o_orderstatus != 'P'").groupBy(F.col("o_custkey").alias("config_id")).agg(F.max("o_orderkey").alias("run_id"), F.max_by("o_orderstatus", "o_orderkey").alias("status"))
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import frames as fr
 from tidemark.operators import islands as isl
+from tidemark.operators.store import bins_between
 from tidemark.queries.base import LEN, NOTES, RECS, SIG, notes, r6, recs, signal
 from tidemark.tables import read
 
@@ -140,7 +141,7 @@ def state_levels(s, d):
 
 query("state_levels", f"WITH {SIG}, m AS (SELECT recording_id, min(x) lo, max(x) hi FROM sig GROUP BY ALL), b AS (SELECT recording_id, least(99, floor((x - lo) / ((hi - lo) / 100))) bin, lo, hi, count(*) c FROM sig JOIN m USING (recording_id) WHERE hi > lo GROUP BY ALL), k AS (SELECT recording_id, (min(bin) + max(bin)) / 2 mid FROM b GROUP BY ALL), j AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 100 lv FROM b JOIN k USING (recording_id)) SELECT recording_id, round(sum(lv * c) FILTER (bin <= mid) / sum(c) FILTER (bin <= mid), 6) low, round(sum(lv * c) FILTER (bin > mid) / sum(c) FILTER (bin > mid), 6) high FROM j GROUP BY recording_id")(state_levels)
 
-EDGES = [-100.0, -10.0, -1.0, 0.0, 1.0, 10.0, 100.0]  # signed semi-logarithmic steps
+EDGES = bins_between(1, 100)
 
 
 def next_change(s, d):
@@ -151,7 +152,7 @@ def next_change(s, d):
     return grid.join(at, ["recording_id", "idx"]).select("recording_id", "start_idx", r6("change").alias("change"), fr.signed_bins(EDGES, F.round("change", 6)).alias("bin"))
 
 
-query("next_change", f"WITH {SIG}, {LEN}, c AS (SELECT recording_id, idx, round(x - lag(x) OVER (PARTITION BY recording_id ORDER BY idx), 6) + 0.0 change FROM sig), g AS (SELECT recording_id, unnest(range(0, n - 15, 8)) start_idx FROM len WHERE n >= 16) SELECT g.recording_id, start_idx, change, (" + " + ".join(f"(change >= {e})::INTEGER" for e in EDGES) + ")::INTEGER bin FROM g JOIN c ON c.recording_id = g.recording_id AND c.idx = start_idx + 16")(next_change)
+query("next_change", f"WITH {SIG}, {LEN}, c AS (SELECT recording_id, idx, round(x - lag(x) OVER (PARTITION BY recording_id ORDER BY idx), 6) + 0.0 change FROM sig), g AS (SELECT recording_id, unnest(range(0, n - 15, 8)) start_idx FROM len WHERE n >= 16) SELECT g.recording_id, start_idx, change, (" + " + ".join(f"(change >= {e})::INTEGER" for e in (-100, -50, -10, -5, -1, 0, 1, 5, 10, 50, 100)) + ")::INTEGER bin FROM g JOIN c ON c.recording_id = g.recording_id AND c.idx = start_idx + 16")(next_change)
 query("bin_error", f"WITH {SIG} SELECT recording_id, idx, round(CASE WHEN x < 50 THEN 50 - x WHEN x > 200 THEN x - 200 ELSE 0 END, 6) + 0.0 err FROM sig")(
     lambda s, d: signal(s, d).select("recording_id", "idx", r6(F.when(F.col("x") < 50, 50 - F.col("x")).when(F.col("x") > 200, F.col("x") - 200).otherwise(0.0)).alias("err"))
 )
