@@ -105,6 +105,29 @@ def lempel_ziv(x: np.ndarray) -> float:
     return lz76(x > np.median(x)) / (n / math.log2(n)) if n > 1 else math.nan
 
 
+def train_complexity(spans: list[tuple[int, int]], n: int) -> float:
+    """Components of the sequence of ``n`` samples that is 1 within the spans (ends included), over n / log2 n; 0 for one sample or none."""
+    if n <= 1:
+        return 0.0
+    edge = np.zeros(n + 1, np.int64)
+    for a, z in spans:
+        a, z = max(a, 0), min(z + 1, n)
+        if z > a:
+            edge[a] += 1
+            edge[z] -= 1
+    return lz76(np.cumsum(edge[:-1]) > 0) / (n / math.log2(n))
+
+
+def kolmogorov(lz: float) -> float:
+    """The same in nats."""
+    return lz * math.log(2)
+
+
+def per_entropy(lz: float, entropy: float) -> float:
+    """Complexity over entropy, NaN where there is none."""
+    return math.nan if abs(entropy) < 1e-10 else lz / entropy
+
+
 def prominences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strict local maxima and how far each stands above the higher of its two surrounding lows."""
     peaks = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.spectral import marks
 from tidemark.session import cut_lineage
 
 TILE = 4096
@@ -134,6 +135,37 @@ def nearest_first(d: np.ndarray, zone: int, most: int, limit: float) -> list[int
     return out
 
 
+def sliced(profile: DataFrame, m: int, start: int, end: int) -> DataFrame:
+    """The profile's windows that lie within [start, end) of the channel; a stretch shorter than one window is an error."""
+    if end - start < m:
+        raise ValueError(f"{end - start} samples hold no window of {m}")
+    return profile.filter((F.col("idx") >= start) & (F.col("idx") < end - m + 1))
+
+
+def seed_matches(signal: DataFrame, seed: list[float], most: int, limit: float | None = None) -> DataFrame:
+    """``recording_id, idx, distance, rank``: the windows of every recording most like ``seed``, after z-normalisation, nearest first.
+
+    Matches lie more than a quarter of the seed's length apart. ``limit`` bounds the distance over the square root of the length. A recording is in one task.
+    """
+    m = len(seed)
+    bound = np.inf if limit is None else round(limit * m**0.5, 6)
+    query = np.array(seed, float)
+
+    def find(x: np.ndarray) -> list[tuple]:
+        if len(x) < m:
+            return []
+        d = distances_from(np.r_[x, query], len(x), m)[: len(x) - m + 1]
+        return [(k, float(d[k]), rank) for rank, k in enumerate(nearest_first(d, -(-m // 4), most, bound))]
+
+    return marks(signal, find, "idx long, distance double, rank int")
+
+
+def families(groups: DataFrame, limit: float, least: int) -> DataFrame:
+    """Motif groups whose profile distance is at most ``limit`` and that have ``least`` members at least, the seed among them."""
+    n = groups.filter(F.col("profile_distance") <= limit).groupBy("recording_id", "seed").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return groups.join(n.drop("n"), ["recording_id", "seed"], "left_semi")
+
+
 def motif_groups(signal: DataFrame, profile: DataFrame, m: int, neighbours: int, most: int = 10, max_distance: float | None = None) -> DataFrame:
     """``recording_id, seed, profile_distance, member, distance, rank``: groups of alike windows by ascending profile.
 

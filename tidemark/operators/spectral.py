@@ -166,8 +166,89 @@ def pelt_l2(x: np.ndarray, penalty: float, min_size: int = 2, jump: int = 5) ->
     return out[::-1]
 
 
-def change_points(signal: DataFrame, penalty: float, min_size: int = 2, jump: int = 5) -> DataFrame:
-    return marks(signal, lambda x: [(int(b),) for b in pelt_l2(x, penalty, min_size, jump)], "idx long")
+class Cost:
+    """Cost of a stretch [a, z) by running sums: ``l2``, squared deviations from its mean; ``normal``, its length times the logarithm of its variance."""
+
+    def __init__(self, x: np.ndarray, kind: str = "l2") -> None:
+        if kind not in ("l2", "normal"):
+            raise ValueError(f"no cost {kind}")
+        self.kind, self.s, self.q = kind, np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
+
+    def __call__(self, a, z):
+        n = np.maximum(np.subtract(z, a), 1)
+        rest = np.maximum(self.q[z] - self.q[a] - (self.s[z] - self.s[a]) ** 2 / n, 0)
+        return rest if self.kind == "l2" else n * np.log(rest / n + 1e-6)
+
+
+def best_cut(cost: Cost, a: int, z: int, min_size: int, jump: int) -> tuple[float, int]:
+    """The largest gain of cutting [a, z) at a multiple of ``jump``, and where; minus infinity if it is too short."""
+    at = np.arange(-(-(a + min_size) // jump) * jump, z - min_size + 1, jump)
+    if not len(at):
+        return -np.inf, -1
+    gain = cost(a, z) - cost(np.full(len(at), a), at) - cost(at, np.full(len(at), z))
+    k = int(gain.argmax())
+    return float(gain[k]), int(at[k])
+
+
+def binary_cuts(x: np.ndarray, penalty: float | None = None, breaks: int | None = None, kind: str = "l2", min_size: int = 2, jump: int = 5) -> list[int]:
+    """Top down: the best cut of any stretch, again and again, until there are ``breaks`` or the gain is below ``penalty``."""
+    cost = Cost(x, kind)
+    todo = {(0, len(x)): best_cut(cost, 0, len(x), min_size, jump)}
+    out: list[int] = []
+    while todo and (breaks is None or len(out) < breaks):
+        (a, z), (gain, at) = max(todo.items(), key=lambda s: s[1][0])
+        if not np.isfinite(gain) or (penalty is not None and gain < penalty):
+            break
+        del todo[a, z]
+        for side in ((a, at), (at, z)):
+            todo[side] = best_cut(cost, *side, min_size, jump)
+        out.append(at)
+    return sorted(out)
+
+
+def merged_cuts(x: np.ndarray, penalty: float | None = None, breaks: int | None = None, kind: str = "l2", min_size: int = 2, jump: int = 5) -> list[int]:
+    """Bottom up: from a fine grid the cut of least worth is taken out until ``breaks`` are left or the least worth is above ``penalty``."""
+    cost, step = Cost(x, kind), -(-max(min_size, jump) // jump) * jump
+    edges = [0, *range(step, len(x) - min_size + 1, step), len(x)]
+    while len(edges) > 2 and (breaks is None or len(edges) - 2 > breaks):
+        e = np.array(edges)
+        worth = cost(e[:-2], e[2:]) - cost(e[:-2], e[1:-1]) - cost(e[1:-1], e[2:])
+        k = int(worth.argmin())
+        if penalty is not None and worth[k] > penalty:
+            break
+        del edges[k + 1]
+    return edges[1:-1]
+
+
+def window_cuts(x: np.ndarray, penalty: float | None = None, breaks: int | None = None, kind: str = "l2", min_size: int = 2, jump: int = 5, width: int = 100) -> list[int]:
+    """By a sliding window: places whose two half windows differ most, the best first, none within half a window of a better one."""
+    cost, half = Cost(x, kind), max(width // 2, min_size)
+    at = np.arange(-(-half // jump) * jump, len(x) - half + 1, jump)
+    if not len(at):
+        return []
+    score = cost(at - half, at + half) - cost(at - half, at) - cost(at, at + half)
+    out: list[int] = []
+    for k in np.argsort(-score, kind="stable"):
+        if breaks is not None and len(out) == breaks or penalty is not None and score[k] < penalty:
+            break
+        if score[k] > 0 and all(abs(int(at[k]) - other) > half for other in out):
+            out.append(int(at[k]))
+    return sorted(out)
+
+
+ALGORITHMS = {"binary": binary_cuts, "bottom_up": merged_cuts, "window": window_cuts}
+
+
+def change_points(signal: DataFrame, penalty: float | None = None, min_size: int = 2, jump: int = 5, algorithm: str = "exact", breaks: int | None = None, kind: str = "l2") -> DataFrame:
+    """``recording_id, idx``: breakpoints without the recording's end. Either ``penalty`` or ``breaks`` says how many; ``exact`` takes a penalty and the l2 cost."""
+    if (penalty is None) == (breaks is None):
+        raise ValueError("give a penalty or a number of breaks")
+    if algorithm == "exact":
+        if penalty is None or kind != "l2":
+            raise ValueError("the exact search takes a penalty and the l2 cost")
+        return marks(signal, lambda x: [(int(b),) for b in pelt_l2(x, penalty, min_size, jump)], "idx long")
+    find = ALGORITHMS[algorithm]
+    return marks(signal, lambda x: [(int(b),) for b in find(x, penalty, breaks, kind, min_size, jump)], "idx long")
 
 
 # ---------------------------------------------------------------- surrogates

@@ -49,7 +49,7 @@ for op in (
     Operator("entropy", "detection", _entropy, output_kind="scores", params={"measure": N("spectral_entropy", str, choices=(*measures.FAST, *measures.SLOW))}),
     Operator("spectrum", "detection", lambda df, window, hop: spectral.marks(df, lambda x: [(k, float(v)) for k, v in enumerate(measures.stft_log_spectrum(x, window, hop))] if len(x) >= window else [], "band long, power double"), output_kind="encoding", params={"window": N(32, int, 4), "hop": N(16, int, 1)}),
     Operator("matrix_profile", "detection", lambda df, m: profile.matrix_profile(df, m), output_kind="scores", params={"m": N(8, int, 3)}),
-    Operator("change_points", "detection", lambda df, penalty, min_size, jump: _segments(df, spectral.change_points(df, penalty, min_size, jump)), output_kind="spanset", params={"penalty": N(10.0, float, 0), "min_size": N(2, int, 1), "jump": N(5, int, 1)}),
+    Operator("change_points", "detection", lambda df, penalty, min_size, jump, algorithm: _segments(df, spectral.change_points(df, penalty, min_size, jump, algorithm)), output_kind="spanset", params={"penalty": N(10.0, float, 0), "min_size": N(2, int, 1), "jump": N(5, int, 1), "algorithm": N("exact", str, choices=("exact", *spectral.ALGORITHMS))}),
     Operator("level_symbols", "detection", _levels, output_kind="encoding", params={"per_segment": N(6, int, 2), "alphabet": N(5, int, 2, 26)}),
     Operator("trend_symbols", "detection", _trend_words, output_kind="encoding", params={"per_segment": N(6, int, 2), "same_fraction": N(0.5, float, 0, 1)}),
     Operator("spikes", "detection", lambda df, width, delta, distance: _segments(df, islands.refractory(frames.spike_candidates(df, width, delta), ["recording_id"], "idx", distance)), output_kind="spanset", params={"width": N(20, int, 1), "delta": N(0.01), "distance": N(30, int, 1)}),

@@ -34,6 +34,9 @@ query("lowpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, high=0.1))
 query("bandpass_filter")(lambda s, d: sp.filtered(signal(s, d), 1.0, 0.05, 0.2))
 query("change_points")(lambda s, d: sp.change_points(signal(s, d), 15000.0))
 FALLS = {"detrend_s": 20.0, "segment_s": 4.0, "slope_sigma": 1.0}
+query("change_points_binary")(lambda s, d: sp.change_points(signal(s, d), breaks=3, algorithm="binary"))
+query("change_points_bottom_up")(lambda s, d: sp.change_points(signal(s, d), 15000.0, algorithm="bottom_up"))
+query("change_points_window")(lambda s, d: sp.change_points(signal(s, d), breaks=2, algorithm="window", jump=1))
 query("drops")(lambda s, d: falls.drops(signal(s, d), **FALLS))
 query("drop_counts")(lambda s, d: falls.drop_counts(signal(s, d), **FALLS))
 query("drop_gradients")(lambda s, d: falls.drop_gradients(signal(s, d), **FALLS))

@@ -241,6 +241,13 @@ query("profile_links", _SUBS + ", sd AS (SELECT recording_id, i, min_by(j, dist
 query("profile_chains")(lambda s, d: profiles(s, d)[0].chains(profile(s, d)))
 
 
+query("profile_slice", _SUBS + " SELECT recording_id, i idx, dist FROM best WHERE i >= 10 AND i + 8 <= 40")(lambda s, d: profiles(s, d)[0].sliced(profile(s, d), M, 10, 40).select("recording_id", "idx", r6("dist").alias("dist")))
+SEED = [0.0, 1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 0.5]
+query("seed_nearest", f"WITH {SIG}, sub AS (SELECT recording_id, idx, list(x) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) v FROM sig), q AS (SELECT [0.0, 1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 0.5]::DOUBLE[] q), z AS (SELECT recording_id, list_transform(v, lambda t: (t - list_avg(v)) / list_stddev_pop(v)) z, list_transform(q, lambda t: (t - list_avg(q)) / list_stddev_pop(q)) qz FROM sub, q WHERE len(v) = 8 AND list_stddev_pop(v) > 0) SELECT recording_id, round(min(list_distance(z, qz)), 6) distance FROM z GROUP BY ALL")(
+    lambda s, d: profiles(s, d)[0].seed_matches(signal(s, d), SEED, 1).select("recording_id", r6("distance").alias("distance"))
+)
+
+
 @query("motif_groups")
 def snippet_families(s, d):
     mp, sig, prof = profiles(s, d)
