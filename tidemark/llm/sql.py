@@ -14,6 +14,8 @@ walk AS (
 r AS (SELECT seed_id, coalesce(max_by(anchor, i), -1)::INTEGER symbol, min(i) - 1 first_pos, max(i) - 1 last_pos, count(*) n, any_value(scale) scale FROM walk GROUP BY seed_id, run)
 """
 
+_GRAMS = "WITH g AS (SELECT doc_id, n, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, len(text) n, unnest(range(1, len(text) - 198)) i FROM documents WHERE len(text) >= 200)) "
+
 SQL = {
     "p2_found": f"""
 WITH RECURSIVE r AS (SELECT id, {_SESSION.replace("source_file", "any_value(source_file)")} node FROM recordings GROUP BY id),
@@ -32,6 +34,23 @@ ok AS (SELECT id, f::DOUBLE[16] f FROM w WHERE len(f) = 16 AND len(list_filter(f
 e AS (SELECT a.id a, b.id b FROM ok a JOIN ok b ON b.f[1] BETWEEN a.f[1] - 0.25 AND a.f[1] + 0.25 AND a.id != b.id WHERE array_distance(a.f, b.f) <= 0.25),
 reach AS (SELECT a node, a root FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.root)
 SELECT min(root) first_window_id, node window_id FROM reach GROUP BY node HAVING min(root) != node
+""",
+    "p4_clusters": """
+WITH RECURSIVE w AS (SELECT window_id id, any_value(features) f FROM cluster_windows GROUP BY window_id),
+ok AS (SELECT id, f::DOUBLE[16] f FROM w WHERE len(f) = 16 AND len(list_filter(f, lambda v: NOT isfinite(v))) = 0),
+e AS (SELECT a.id a, b.id b FROM ok a JOIN ok b ON b.f[1] BETWEEN a.f[1] - 0.25 AND a.f[1] + 0.25 AND a.id != b.id WHERE array_distance(a.f, b.f) <= 0.25),
+reach AS (SELECT a node, a root FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.root),
+comp AS (SELECT node id, min(root) c FROM reach GROUP BY node),
+lab AS (SELECT ok.id, coalesce(c, ok.id) c, f FROM ok LEFT JOIN comp USING (id)),
+el AS (SELECT id, c, unnest(range(16)) i, unnest(f::DOUBLE[]) v FROM lab),
+g AS (SELECT id, c, round(sum((v - m) * (v - m)), 9) gap FROM el JOIN (SELECT c, i, avg(v) m FROM el GROUP BY ALL) USING (c, i) GROUP BY ALL)
+SELECT c first_window_id, count(*) AS "size", (list(id ORDER BY gap, id))[1] medoid, (list(id ORDER BY gap, id))[1:3] typical FROM g GROUP BY c
+""",
+    "p9_found": _GRAMS + "SELECT DISTINCT a.doc_id doc_a, b.doc_id doc_b FROM (SELECT DISTINCT doc_id, h FROM g) a JOIN (SELECT DISTINCT doc_id, h FROM g) b USING (h) WHERE a.doc_id < b.doc_id",
+    "p9_shares": _GRAMS + """, s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT DISTINCT doc_id, n, i FROM g SEMI JOIN s USING (h)),
+c AS (SELECT doc_id, n, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) fresh FROM p)
+SELECT doc_id, n n_chars, sum(fresh)::BIGINT shared_chars, sum(fresh) / n AS "share" FROM c GROUP BY doc_id, n
 """,
     "p5_found": _RUNS + "SELECT seed_id, first_pos::BIGINT first_pos, last_pos::BIGINT last_pos FROM r WHERE n >= 2",
     "p5_runs": _RUNS + "SELECT seed_id, symbol, first_pos::BIGINT first_pos, last_pos::BIGINT last_pos, n, (n * scale)::BIGINT duration FROM r",
