@@ -237,8 +237,13 @@ def profiles(s, d):
     return mp, signal(s, d), profile(s, d)
 
 
-query("profile_links", _SUBS + ", sd AS (SELECT recording_id, i, min_by(j, dist * 1e6 + j) FILTER (j < i) l, min_by(j, dist * 1e6 + j) FILTER (j > i) r FROM pr GROUP BY ALL) SELECT a.recording_id, a.i idx, a.r following FROM sd a JOIN sd b ON b.recording_id = a.recording_id AND b.i = a.r AND b.l = a.i")(lambda s, d: profiles(s, d)[0].links(profile(s, d)))
-query("profile_chains")(lambda s, d: profiles(s, d)[0].chains(profile(s, d)))
+_LINKS = _SUBS.replace("WITH sig", "WITH RECURSIVE sig", 1).replace("round(list_distance(a.z, b.z), 6)", "round(list_distance(a.z, b.z), 9)") + ", sd AS (SELECT recording_id, i, first(j ORDER BY dist, j) FILTER (j < i) l, first(j ORDER BY dist, j) FILTER (j > i) r FROM pr GROUP BY ALL), lk AS (SELECT a.recording_id, a.i idx, a.r following FROM sd a JOIN sd b ON b.recording_id = a.recording_id AND b.i = a.r AND b.l = a.i)"
+query("profile_links", _LINKS + " SELECT * FROM lk")(lambda s, d: profiles(s, d)[0].links(profile(s, d)))
+query(
+    "profile_chains",
+    _LINKS + ", w AS (SELECT recording_id, idx chain, 0::BIGINT pos, idx FROM lk WHERE NOT EXISTS (SELECT 1 FROM lk p WHERE p.recording_id = lk.recording_id AND p.following = lk.idx) UNION ALL SELECT w.recording_id, w.chain, w.pos + 1, lk.following FROM w JOIN lk ON lk.recording_id = w.recording_id AND lk.idx = w.idx), "
+    "l AS (SELECT recording_id, chain, count(*) n FROM w GROUP BY ALL), t AS (SELECT recording_id, chain best FROM l QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, chain) = 1) SELECT recording_id, chain, pos, idx, n AS \"length\", chain = best longest FROM w JOIN l USING (recording_id, chain) JOIN t USING (recording_id)",
+)(lambda s, d: profiles(s, d)[0].chains(profile(s, d)))
 
 
 query("profile_slice", _SUBS + " SELECT recording_id, i idx, dist FROM best WHERE i >= 10 AND i + 8 <= 40")(lambda s, d: profiles(s, d)[0].sliced(profile(s, d), M, 10, 40).select("recording_id", "idx", r6("dist").alias("dist")))
