@@ -135,11 +135,12 @@ def state_levels(s, d):
     mid = h.groupBy("recording_id").agg(((F.min("bin") + F.max("bin")) / 2).alias("mid"))
     at = F.col("lo") + (F.col("bin") + 0.5) * width
     j = h.join(mid, "recording_id").withColumn("at", at)
-    side = lambda c: F.sum(F.when(c, F.col("at") * F.col("c"))) / F.sum(F.when(c, F.col("c")))
-    return j.groupBy("recording_id").agg(F.round(side(F.col("bin") <= F.col("mid")), 6).alias("low"), F.round(side(F.col("bin") > F.col("mid")), 6).alias("high"))
+    # sums, not means, are rounded: a mean of few values often ends in exactly half of the last place
+    side = lambda c: F.round(F.sum(F.when(c, F.col("at") * F.col("c"))), 5) / F.sum(F.when(c, F.col("c")))
+    return j.groupBy("recording_id").agg(side(F.col("bin") <= F.col("mid")).alias("low"), side(F.col("bin") > F.col("mid")).alias("high"))
 
 
-query("state_levels", f"WITH {SIG}, m AS (SELECT recording_id, min(x) lo, max(x) hi FROM sig GROUP BY ALL), b AS (SELECT recording_id, least(99, floor((x - lo) / ((hi - lo) / 100))) bin, lo, hi, count(*) c FROM sig JOIN m USING (recording_id) WHERE hi > lo GROUP BY ALL), k AS (SELECT recording_id, (min(bin) + max(bin)) / 2 mid FROM b GROUP BY ALL), j AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 100 lv FROM b JOIN k USING (recording_id)) SELECT recording_id, round(sum(lv * c) FILTER (bin <= mid) / sum(c) FILTER (bin <= mid), 6) low, round(sum(lv * c) FILTER (bin > mid) / sum(c) FILTER (bin > mid), 6) high FROM j GROUP BY recording_id")(state_levels)
+query("state_levels", f"WITH {SIG}, m AS (SELECT recording_id, min(x) lo, max(x) hi FROM sig GROUP BY ALL), b AS (SELECT recording_id, least(99, floor((x - lo) / ((hi - lo) / 100))) bin, lo, hi, count(*) c FROM sig JOIN m USING (recording_id) WHERE hi > lo GROUP BY ALL), k AS (SELECT recording_id, (min(bin) + max(bin)) / 2 mid FROM b GROUP BY ALL), j AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 100 lv FROM b JOIN k USING (recording_id)) SELECT recording_id, round(sum(lv * c) FILTER (bin <= mid), 5) / sum(c) FILTER (bin <= mid) low, round(sum(lv * c) FILTER (bin > mid), 5) / sum(c) FILTER (bin > mid) high FROM j GROUP BY recording_id")(state_levels)
 
 EDGES = bins_between(1, 100)
 
