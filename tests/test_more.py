@@ -14,6 +14,7 @@ from tidemark.operators import spectral as sp
 from tidemark.operators import store as st
 from tidemark.operators import symbols as sy
 from tidemark.operators import trends
+from tidemark.session import cut_lineage
 
 
 def sig(spark, *series):
@@ -174,3 +175,11 @@ def test_train_complexity():
     assert me.train_complexity([], 1) == 0 and me.train_complexity([(0, 3)], 64) == me.lz76(np.r_[np.ones(4), np.zeros(60)]) / (64 / 6)
     assert me.train_complexity([(-5, 2), (60, 99)], 64) == me.lz76(np.r_[np.ones(3), np.zeros(57), np.ones(4)]) / (64 / 6)
     assert me.kolmogorov(1.0) == math.log(2) and math.isnan(me.per_entropy(1.0, 0.0)) and me.per_entropy(1.0, 2.0) == 0.5
+
+
+def test_estimates_start_anew_at_checkpoints(spark, rows):
+    t = spark.range(20).select("id", F.floor(F.col("id") / 2).alias("up"))
+    for _ in range(8):
+        t = cut_lineage(t.join(t.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+    assert rows(t) == sorted(((k, 0) for k in range(20)), key=repr)
+    assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 64  # else a product of 2 ** 8 sizes

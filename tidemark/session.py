@@ -52,7 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back; it outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return anew(df.checkpoint(eager=True))
+
+
+def anew(written: DataFrame) -> DataFrame:
+    """A checkpointed table without the estimated size and the constraints that Spark carries over from the plan before.
+
+    The size is a product over all joins so far. From checkpoint to checkpoint its digits multiply, until planning takes minutes and the number no
+    longer fits. Joins of the result are chosen by what their inputs are seen to hold when they run.
+    """
+    spark = written.sparkSession
+    jvm, plan = spark.sparkContext._jvm, written._jdf.queryExecution().analyzed()
+    none = jvm.scala.Option.empty()
+    leaf = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, leaf), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:
