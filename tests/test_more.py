@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -183,3 +184,17 @@ def test_estimates_start_anew_at_checkpoints(spark, rows):
         t = cut_lineage(t.join(t.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
     assert rows(t) == sorted(((k, 0) for k in range(20)), key=repr)
     assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 64  # else a product of 2 ** 8 sizes
+
+
+def joins_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rows_made_for_joins_are_not_broadcast(spark):
+    r = random.Random(5)
+    some = spans(spark, [(k, k % 40, a, a + r.choice([1, 30, 500])) for k in range(400) for a in [r.randrange(3000)]]).repartition(4, "id").localCheckpoint()
+    ends = lambda p: some.select("recording_id", F.col("start_idx").alias(f"{p}0"), F.col("end_idx").alias(f"{p}1"))
+    for df in (st.joined_events(ends("a"), ends("b")),):
+        for join in re.findall(r"BroadcastHashJoin \[(.*?)\]", joins_of(df)):
+            assert "_k" not in join and "_c" not in join

@@ -73,15 +73,17 @@ def level_of(width: Column) -> Column:
 def containing(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: str, high: str) -> DataFrame:
     """Points joined to the intervals that hold them, both bounds included.
 
-    An interval lies in two blocks of its own power of two at most; a point is looked for once for each power that occurs (at most 62 of them).
+    An interval lies in two blocks of its own power of two at most; a point is looked for once for each power that occurs among the intervals of its
+    key. Both sides have more rows than the planner expects of them, so the join is by merging: it would copy them to every executor by way of the driver.
     """
     k = level_of(F.col(high) - F.col(low) + 1)
     blocked = intervals.filter(F.col(low) <= F.col(high)).withColumn("_k", k)
+    powers = blocked.groupBy(*on).agg(F.bit_or(F.expr("shiftleft(1L, _k)")).alias("_powers"))
     first, last = (F.floor(F.col(c) / F.pow(F.lit(2.0), "_k")).cast("long") for c in (low, high))
     blocked = blocked.withColumn("_b", F.explode(F.sequence(first, last)))
-    powers = sorted(r[0] for r in intervals.filter(F.col(low) <= F.col(high)).select(k.alias("k")).distinct().collect())
-    sought = F.array(*[F.struct(F.lit(p).alias("_k"), F.floor(F.col(at) / float(2**p)).cast("long").alias("_b")) for p in powers]) if powers else F.array().cast("array<struct<_k:int,_b:bigint>>")
-    return points.select("*", F.inline(sought)).join(blocked, [*on, "_k", "_b"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_k", "_b")
+    occurring = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda p: F.getbit("_powers", p) == 1)
+    sought = points.join(powers, on).withColumn("_k", F.explode(occurring)).withColumn("_b", F.floor(F.col(at) / F.pow(F.lit(2.0), "_k")).cast("long")).drop("_powers")
+    return sought.join(blocked.hint("merge"), [*on, "_k", "_b"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_k", "_b")
 
 
 def overlapping(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
