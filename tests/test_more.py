@@ -195,6 +195,6 @@ def test_rows_made_for_joins_are_not_broadcast(spark):
     r = random.Random(5)
     some = spans(spark, [(k, k % 40, a, a + r.choice([1, 30, 500])) for k in range(400) for a in [r.randrange(3000)]]).repartition(4, "id").localCheckpoint()
     ends = lambda p: some.select("recording_id", F.col("start_idx").alias(f"{p}0"), F.col("end_idx").alias(f"{p}1"))
-    for df in (st.joined_events(ends("a"), ends("b")),):
+    for df in (st.joined_events(ends("a"), ends("b")), st.scored_hits(some, some)):
         for join in re.findall(r"BroadcastHashJoin \[(.*?)\]", joins_of(df)):
             assert "_k" not in join and "_c" not in join
