@@ -195,6 +195,17 @@ def test_rows_made_for_joins_are_not_broadcast(spark):
     r = random.Random(5)
     some = spans(spark, [(k, k % 40, a, a + r.choice([1, 30, 500])) for k in range(400) for a in [r.randrange(3000)]]).repartition(4, "id").localCheckpoint()
     ends = lambda p: some.select("recording_id", F.col("start_idx").alias(f"{p}0"), F.col("end_idx").alias(f"{p}1"))
-    for df in (st.joined_events(ends("a"), ends("b")), st.scored_hits(some, some)):
+    for df in (st.joined_events(ends("a"), ends("b")), st.scored_hits(some, some), st.similar_spans(some, some)):
         for join in re.findall(r"BroadcastHashJoin \[(.*?)\]", joins_of(df)):
             assert "_k" not in join and "_c" not in join
+
+
+@pytest.mark.parametrize("iou,ratio", [(0.8, 1.5), (0.8, 1.1), (0.3, 1.5), (0.0, 2.0), (0.05, 100.0), (1.0, 1.0)])
+def test_similar_spans_against_brute_force(spark, rows, iou, ratio):
+    r = random.Random(7)
+    make = lambda n: [(k, r.randrange(2), a, a + r.choice([0, 1, 2, 4, 5, 8, 10, 64, 80, 100])) for k in range(n) for a in [r.randrange(-40, 90)]]
+    a, b = make(90), make(110)
+    over = lambda p, q: max(0, min(p[3], q[3]) - max(p[2], q[2])) / max(1, max(p[3], q[3]) - min(p[2], q[2]))
+    alike = lambda p, q: over(p, q) > 0 and over(p, q) >= iou and max(p[3] - p[2], q[3] - q[2]) / min(p[3] - p[2], q[3] - q[2]) <= ratio
+    want = sorted([(p[0], q[0], over(p, q)) for p in a for q in b if p[1] == q[1] and alike(p, q)], key=repr)
+    assert want and rows(st.similar_spans(spans(spark, a), spans(spark, b), iou, ratio)) == want

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 62
+MOST_CELLS = 8
 
 
 def filter_annotations(rows: DataFrame, *, ids: DataFrame | None = None, text: str | None = None, **any_of: list) -> DataFrame:
@@ -96,14 +97,27 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def similar_spans(candidates: DataFrame, spans: DataFrame, iou: float = 0.8, ratio: float = 1.5) -> DataFrame:
     """``candidate_id, id, iou``: spans of the candidate's recording at least so much overlapped and at most so many times wider or narrower.
 
-    Both have ``id, recording_id, start_idx, end_idx``, half-open; empty ones are similar to nothing.
+    Both have ``id, recording_id, start_idx, end_idx``, half-open; empty ones are similar to nothing. Spans that are alike are nearly as wide and begin within
+    a fraction of their width of each other, so a span is in one cell of its width class and a candidate is looked for in the few cells that can match;
+    where the limits leave too many cells, all overlapping pairs are looked at.
     """
     a = candidates.filter("end_idx > start_idx").select("recording_id", F.col("id").alias("candidate_id"), F.col("start_idx").alias("a0"), (F.col("end_idx") - 1).alias("a1"))
     b = spans.filter("end_idx > start_idx").select("recording_id", "id", F.col("start_idx").alias("b0"), (F.col("end_idx") - 1).alias("b1"))
     shared = F.least("a1", "b1") - F.greatest("a0", "b0") + 1
     joint = F.greatest("a1", "b1") - F.least("a0", "b0") + 1
     wa, wb = F.col("a1") - F.col("a0") + 1, F.col("b1") - F.col("b0") + 1
-    pairs = overlapping(a, b, ["recording_id"]).withColumn("iou", shared / joint)
+    share = (max(0.0, min(1.0, 1 / iou - 1)) if iou > 0 else 1.0) * (1 + 1e-9) + 1e-9
+    most = (max(1.0, min(ratio, 1 / iou)) if iou > 0 else max(1.0, ratio)) * (1 + 1e-9)
+    if share * most > MOST_CELLS:
+        pairs = overlapping(a, b, ["recording_id"])
+    else:
+        cls = lambda w: F.floor(F.log2(w)).cast("int")
+        cells = b.withColumn("_k", cls(wb)).withColumn("_c", F.floor(F.col("b0") / F.pow(F.lit(2.0), F.col("_k") + 1)).cast("long"))
+        sought = a.withColumn("_k", F.explode(F.sequence(F.greatest(cls(wa / most), F.lit(0)), cls(wa * most))))
+        first, last = F.floor(F.col("a0") / F.pow(F.lit(2.0), F.col("_k") + 1) - share), F.floor((F.col("a0") + wa * share) / F.pow(F.lit(2.0), F.col("_k") + 1))
+        sought = sought.withColumn("_c", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+        pairs = sought.join(cells.hint("merge"), ["recording_id", "_k", "_c"]).filter(shared > 0)
+    pairs = pairs.withColumn("iou", shared / joint)
     return pairs.filter((F.col("iou") >= iou) & (F.greatest(wa, wb) / F.least(wa, wb) <= ratio)).select("candidate_id", "id", "iou")
 
 
