@@ -171,6 +171,14 @@ def brute_clusters(points, eps):
     return {i: find(i) for i in ids}
 
 
+def test_a_row_is_once_in_a_cell():
+    tree = clusters.Tree(np.zeros((0, 2)), 0, 0.25)
+    tree.nodes, tree.width, tree.axes = [(0, 0.0, 1, 2), (), ()], 1.0, np.array([[0.0], [1.0]])
+    row, key = tree.place(np.array([[0.0, 1.9], [0.0, 0.5]]))  # leaves 1 and 2, cells 1 and 2 of the first row
+    assert len(set(zip(row.tolist(), key.tolist()))) == len(row) == 6
+    assert [len(v) for v in tree.place(np.zeros((0, 2)))] == [0, 0]
+
+
 WINDOWS = "window_id long, features array<double>, label int, loaded_at timestamp"
 
 

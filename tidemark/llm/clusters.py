@@ -102,7 +102,7 @@ class Tree:
         self.axes = axes
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cell keys; a row appears once for each cell it is in."""
+        """Rows and cell keys; a row appears once for each cell it is in, also where two cells happen to have one key."""
         rows, keys, todo = [], [], [(0, np.arange(len(x)))]
         while todo:
             k, row = todo.pop()
@@ -120,13 +120,17 @@ class Tree:
         base = np.floor(y)
         above = (base + 1 - y) * self.width <= self.reach
         mix = np.uint64(0x9E3779B97F4A7C15)
+        key = (key + np.uint64(1)) * mix  # else leaf and first cell, both small, would often meet
         for j in range(y.shape[1]):
             here = base[row, j].astype(np.int64)
             more = np.flatnonzero(above[row, j])
             row, key, cell = np.r_[row, row[more]], np.r_[key, key[more]], np.r_[here, here[more] + 1].astype(np.uint64)
             key = (key ^ cell) * mix
             key ^= key >> np.uint64(29)
-        return row, key.view(np.int64)
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])][: len(row)]
+        return row[new], key[new].view(np.int64)
 
 
 def trees(rows: DataFrame, eps: float) -> dict[int, Tree]:
