@@ -200,6 +200,17 @@ def test_rows_made_for_joins_are_not_broadcast(spark):
             assert "_k" not in join and "_c" not in join
 
 
+def test_hits_are_scored_without_the_driver(spark, tmp_path):
+    r = random.Random(6)
+    some = [(k, k % 40, a, a + r.choice([1, 30, 500])) for k in range(400) for a in [r.randrange(3000)]]
+    spans(spark, some).write.parquet(f"{tmp_path}/spans")
+    read = spark.read.parquet(f"{tmp_path}/spans")
+    scored = st.scored_hits(read, read)
+    assert "Broadcast" not in joins_of(scored)
+    holds = lambda p, q: p[1] == q[1] and q[2] - (q[3] - q[2]) / 2 <= (p[2] + p[3]) / 2 <= q[3] + (q[3] - q[2]) / 2
+    assert dict(map(tuple, scored.collect())) == {p[0]: max(q[0] for q in some if holds(p, q)) for p in some}
+
+
 @pytest.mark.parametrize("iou,ratio", [(0.8, 1.5), (0.8, 1.1), (0.3, 1.5), (0.0, 2.0), (0.05, 100.0), (1.0, 1.0)])
 def test_similar_spans_against_brute_force(spark, rows, iou, ratio):
     r = random.Random(7)

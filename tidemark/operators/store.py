@@ -75,7 +75,7 @@ def containing(points: DataFrame, intervals: DataFrame, on: list[str], at: str,
     """Points joined to the intervals that hold them, both bounds included.
 
     An interval lies in two blocks of its own power of two at most; a point is looked for once for each power that occurs among the intervals of its
-    key. Both sides have more rows than the planner expects of them, so the join is by merging: it would copy them to every executor by way of the driver.
+    key. Both sides have more rows than the planner expects of them, so the joins are by merging: it would copy them to every executor by way of the driver.
     """
     k = level_of(F.col(high) - F.col(low) + 1)
     blocked = intervals.filter(F.col(low) <= F.col(high)).withColumn("_k", k)
@@ -83,7 +83,7 @@ def containing(points: DataFrame, intervals: DataFrame, on: list[str], at: str,
     first, last = (F.floor(F.col(c) / F.pow(F.lit(2.0), "_k")).cast("long") for c in (low, high))
     blocked = blocked.withColumn("_b", F.explode(F.sequence(first, last)))
     occurring = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda p: F.getbit("_powers", p) == 1)
-    sought = points.join(powers, on).withColumn("_k", F.explode(occurring)).withColumn("_b", F.floor(F.col(at) / F.pow(F.lit(2.0), "_k")).cast("long")).drop("_powers")
+    sought = points.join(powers.hint("merge"), on).withColumn("_k", F.explode(occurring)).withColumn("_b", F.floor(F.col(at) / F.pow(F.lit(2.0), "_k")).cast("long")).drop("_powers")
     return sought.join(blocked.hint("merge"), [*on, "_k", "_b"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_k", "_b")
 
 
@@ -147,7 +147,7 @@ def scored_hits(hits: DataFrame, events: DataFrame, tolerance: float = 0.5) -> D
     pad = (F.col("end_idx") - F.col("start_idx")) * tolerance
     wide = events.select("recording_id", F.col("id").alias("event"), (F.col("start_idx") - pad).alias("low"), (F.col("end_idx") + pad).alias("high"))
     best = containing(centre.select("id", "recording_id", "at"), wide, ["recording_id"], "at", "low", "high").groupBy("id").agg(F.max("event").alias("event"))
-    return hits.select("id").join(best, "id", "left")
+    return hits.select("id").join(best.hint("merge"), "id", "left")
 
 
 def precision_recall(scored: DataFrame, buckets: int = 64) -> DataFrame:
